@@ -133,36 +133,56 @@ class Rewriter:
         heads |= set(self.letters)
         one_plane = "".join(re.escape(c) for c in sorted(heads) if c <= "\uffff")  # only such a class is a table lookup
         self.any = re.compile(f"[{one_plane}]" if one_plane else "(?!)")
+        self.stretch = re.compile(rf"[\s\S]?[{one_plane}\U00010000-\U0010ffff]+")  # no match of the automaton reaches beyond one
+        self.known: dict[str, str] = {}
         self.beyond = re.compile("[\U00010000-\U0010ffff]")
-        self.run = re.compile(r"[^\W\d_]+")
         self.foreign = re.compile("[Ͱ-ϿЀ-ԯ]")
         self.ascii_free = all(not a.isascii() for a in mapping)
 
-    def _word(self, m: re.Match) -> str:
-        w = m[0]
-        if not self.foreign.search(w):
-            return w
-        out = w.translate(self.letters_table)
-        if self.foreign.search(out) and not any("LATIN" in unicodedata.name(c, "") for c in w):
-            return w
-        return out
+    def _words(self, text: str) -> str:
+        """Rewrites letters of other scripts, but not in words that are wholly of another script and can't be Latin."""
+        parts, at = [], 0
+        for m in self.foreign.finditer(text):
+            if m.start() < at:
+                continue
+            low, high = m.start(), m.end()
+            while low > at and text[low - 1].isalpha():
+                low -= 1
+            while high < len(text) and text[high].isalpha():
+                high += 1
+            w = text[low:high]
+            out = w.translate(self.letters_table)
+            if self.foreign.search(out) and not any("LATIN" in unicodedata.name(c, "") for c in w):
+                out = w
+            parts += (text[at:low], out)
+            at = high
+        return "".join((*parts, text[at:]))
 
     def __call__(self, text: str | None) -> str | None:
         if not text or (self.ascii_free and text.isascii()) or not (self.any.search(text) or self.beyond.search(text)):
             return text
         for _ in range(3):  # a rewritten letter may complete a longer pattern
-            parts, at = [], 0
-            for end, (n, b) in self.automaton.iter_long(text):
-                parts += (text[at : end + 1 - n], b)
-                at = end + 1
-            out = "".join((*parts, text[at:])) if parts else text
+            out = self.stretch.sub(self._stretch, text)
             if self.foreign.search(out):
-                out = self.run.sub(self._word, out)
+                out = self._words(out)
             if out == text:
                 break
             text = out
         return text
 
+    def _stretch(self, m: re.Match) -> str:
+        """Rewrites a stretch greedily; short ones recur, so their results are kept."""
+        text = m[0]
+        if (out := self.known.get(text)) is None:
+            parts, at = [], 0
+            for end, (n, b) in self.automaton.iter_long(text):
+                parts += (text[at : end + 1 - n], b)
+                at = end + 1
+            out = "".join((*parts, text[at:]))
+            if len(text) < 8 and len(self.known) < 50_000:
+                self.known[text] = out
+        return out
+
 
 @lru_cache(4)
 def _rewriter(items: tuple[tuple[str, str], ...] | None) -> Rewriter:

@@ -45,7 +45,7 @@ class Settings:
     least_depth: int = 2
     target_recall: float = 0.99
     #: Texts of which the codec's dictionary is trained; the codec is lossless, so that no result depends on it.
-    codec_sample: int = 1000
+    codec_sample: int = 2000
 
 
 class _Codec:
@@ -53,7 +53,7 @@ class _Codec:
 
     def __init__(self, samples: list[bytes]):
         try:
-            self.data = zstandard.train_dictionary(1 << 16, samples).as_bytes()
+            self.data = zstandard.train_dictionary(1 << 17, samples).as_bytes()
         except zstandard.ZstdError:  # too few samples
             self.data = b""
 
@@ -83,14 +83,12 @@ def _sketches(df: DataFrame, id_col: str, text_col: str, o: Settings, codec: _Co
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = codec.packer()
-        for batch in batches:
+        for batch in (x.slice(k, 500) for x in batches for k in range(0, x.num_rows, 500)):  # what a sketch works on stays in the cache
             found = [(i, _form(t)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t and i is not None]
             words, counts = word_hashes([t for _, t in found])
             enough = counts >= max(1, o.least_words)
-            ends = np.cumsum(counts)
             words, found = words[np.repeat(enough, counts)], [x for x, ok in zip(found, enough, strict=True) if ok]
             cls = [xxhash.xxh3_128_digest(x.tobytes()) for x in np.split(words, np.cumsum(counts[enough])[:-1])] if found else []
-            del ends
             counts = counts[enough]
             low = sketch(*shingle_hashes(words, counts, o.shingle_words), o.trees * LEVELS).reshape(-1, o.trees, LEVELS).astype(np.uint64)
             labels = np.broadcast_to(trees, low.shape[:2]).copy()
@@ -113,17 +111,17 @@ def _verified(candidates: DataFrame, packed: DataFrame, o: Settings, codec: _Cod
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = codec.unpacker()
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
                 ids: dict[int, int] = {}
                 texts: list[str] = []
                 sides = []
                 for k in (0, 1):
                     own = []
-                    for i, x in zip(batch.column(k).to_pylist(), batch.column(2 + k), strict=True):
+                    for i, x in zip(batch.column(k).to_pylist(), batch.column(2 + k).to_pylist(), strict=True):
                         if i not in ids:
                             ids[i] = len(texts)
-                            texts.append(unpack.decompress(x.as_py()).decode("utf-8", "surrogatepass"))
+                            texts.append(unpack.decompress(x).decode("utf-8", "surrogatepass"))
                         own.append(ids[i])
                     sides.append(np.array(own, np.int64))
                 items, counts = shingle_hashes(*word_hashes(texts), o.shingle_words)
@@ -177,7 +175,7 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, o: Settings) -> S
     table = materialize(_sketches(df, id_col, text_col, o, codec), "sketches")
     reps = table.groupBy("cls").agg(F.min("id").alias("rep"))
     copies = materialize(table.select("id", "cls").join(reps, "cls").select("id", "rep"), "members")
-    others = copies.where("id <> rep").select("id")
+    others = materialize(copies.where("id <> rep").select("id"), "copies")
     firsts = table.join(others, "id", "left_anti")
     entries = firsts.select("id", F.explode("labels").alias("label"))
     found, before, depth = [], None, LEVELS
