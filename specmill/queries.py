@@ -2,10 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from specmill.operators import units
+from specmill.session import table
+
+QUANTITY_FIELDS = ["thresholds", "performance_parameters", "timing_constraints"]
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of parsed functions that state the same quantities in different units."""
+    rows = units.restated_pairs(table(spark, d, "parsed_functions"), "parsed_id", ["func_id", "doc_id"], QUANTITY_FIELDS)
+    return rows.select(F.col("a").alias("parsed_id_a"), F.col("b").alias("parsed_id_b"), "field_name")
+
+
+def p4_quantities(spark: SparkSession, d: str) -> DataFrame:
+    """Each quantity of the three fields as a number in its common unit."""
+    rows = units.common_quantities(table(spark, d, "parsed_functions"), ["parsed_id"], QUANTITY_FIELDS)
+    given = table(spark, d, "common_units").withColumnRenamed("common_unit", "wanted")  # a fixed table of one row per kind
+    return rows.join(F.broadcast(given), rows["kind"] == given["quantity"], "left").select("parsed_id", "field_name", "item_no", "item", "kind", "unit", "value", F.coalesce("wanted", "common_unit").alias("common_unit"), "inferred", "posterior", "uncertain")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name."""
-    return {}
+    return {f.__name__: f for f in (p4_found, p4_quantities)}
 
 
 def oracle_sql() -> dict[str, str]:
