@@ -144,9 +144,8 @@ def _items(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     lists = F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("list")) for f in fields))
     rows = df.select(*keys, F.explode(lists).alias("f")).select(*keys, "f.field_name", F.col("f.list").alias("list")).where("list is not null")
     rows = rows.select(*keys, "field_name", F.posexplode(F.split("list", SEPARATOR)).alias("item_no", "item")).where(F.col("item").rlike(r"\d"))
-    clean = F.regexp_replace(F.trim(F.regexp_replace("item", r"(?U)\s+", " ")), r"(?<=\d) (?=\d{1,2}(?!\d))", " ")
-    rows = rows.withColumn("item", clean)
-    behind = F.regexp_extract_all("item", F.lit(rf"(?<![\p{{L}}\d_])({NUMBER})\s*([^\d\[\]()=:]*)"), F.lit(0))
+    rows = rows.withColumn("item", F.trim(F.regexp_replace("item", r"(?U)\s+", " ")))
+    behind = F.regexp_extract_all("item", F.lit(rf"(?:(?<![\p{{L}}\d_])|(?<=\d ?\p{{L}}{{1,12}}))({NUMBER})\s*([^\d\[\]()=:]*)"), F.lit(0))
     part = lambda m: F.struct(_number(F.regexp_extract(m, NUMBER, 0)).alias("x"), _unit_key(F.regexp_replace(m, NUMBER, "")).alias("key"))
     ahead = F.regexp_extract("item", r"(?:\[([^\]]*)\]|\(([^)]*)\)|(?i)\bin\s+([^\d:=]+?))\s*(?:<=|>=|[:=≤≥<>])*\s*" + f"(?:{NUMBER})", 0)
     ahead = F.regexp_replace(F.regexp_replace(ahead, rf"\s*(?:<=|>=|[:=≤≥<>])*\s*{NUMBER}$", ""), r"^(?i)in\s+", "")
