@@ -61,7 +61,7 @@ class _Codec:
         return {"dict_data": zstandard.ZstdCompressionDict(self.data)} if self.data else {}
 
     def packer(self) -> zstandard.ZstdCompressor:
-        return zstandard.ZstdCompressor(level=3, write_content_size=True, **self._dict())
+        return zstandard.ZstdCompressor(level=7, write_content_size=True, **self._dict())
 
     def unpacker(self) -> zstandard.ZstdDecompressor:
         return zstandard.ZstdDecompressor(**self._dict())
