@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specmill.llm import lookalikes, near_duplicates
+from specmill.llm import answers, lookalikes, near_duplicates, residue, splitting
 from specmill.session import table
 
 #: The setting of problem 1 in this project's data.
@@ -36,9 +36,61 @@ def p3_texts(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.consistent_text(table(spark, d, "config_texts").select("text_id", "text")).select("text_id", "consistent_text")
 
 
+def _residue(spark: SparkSession, d: str, validate: bool = False) -> tuple[DataFrame, residue.Residue]:
+    rows = table(spark, d, "synthesis_results")
+    return rows, residue.train(rows, "result_id", "text", "config_name", validate)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Results that hold template residue, filler, error pages or script notices."""
+    rows, model = _residue(spark, d)
+    return residue.scored(rows, model, "result_id", "text").where("score > 0.5").select(F.col("id").alias("result_id"))
+
+
+def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The results without those."""
+    rows, model = _residue(spark, d)
+    bad = residue.scored(rows, model, "result_id", "text").where("score > 0.5").select(F.col("id").alias("result_id"))
+    return rows.join(bad, "result_id", "left_anti").select("result_id", "text_id", "config_name", "text")
+
+
+def p2_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Quality of the classifier on the weak labels of hosts unseen in training."""
+    r = _residue(spark, d, True)[1].body.report
+    row = (r.get("held_out_rows", 0), r.get("positives", 0), r.get("precision"), r.get("recall"))
+    return spark.createDataFrame([row], "held_out_rows long, positives long, precision_at_half double, recall_at_half double")
+
+
+def _defects(spark: SparkSession, d: str) -> DataFrame:
+    rows, model = _residue(spark, d)
+    return answers.defective_answers(table(spark, d, "config_texts"), rows, model, "text_id", "result_id", "text")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Defective results with their first defect."""
+    return _defects(spark, d).select(F.col("id").alias("result_id"), F.element_at("defects", 1).alias("defect"))
+
+
+def p5_defects(spark: SparkSession, d: str) -> DataFrame:
+    """Defective results with every defect found."""
+    return _defects(spark, d).select(F.col("id").alias("result_id"), F.posexplode("defects").alias("rank", "defect"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sections beyond the limit, with the weakest kind of boundary needed to cut them."""
+    rows = splitting.cut_kinds(table(spark, d, "config_texts"), "text_id", "text", "page_number", "page_number_end")
+    return rows.withColumnRenamed("id", "text_id")
+
+
+def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """All sections in pieces of at most 3,000 characters."""
+    rows = splitting.split_texts(table(spark, d, "config_texts"), "text_id", "text", "page_number", "page_number_end")
+    return rows.withColumnRenamed("id", "text_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name."""
-    return {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_texts)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_clean, p2_validation, p3_found, p3_texts, p5_found, p5_defects, p6_found, p6_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
