@@ -36,7 +36,7 @@ FUNCTION_WORDS = {
     "fr": "le la les un une des du de et est sont dans en au aux par pour sur avec pas ne se que qui si quand après avant car selon pendant sans cette ce sa son l d jusqu plus",
     "es": "el la los las un una unos de del y es son en al por para con no se que si cuando tras antes porque según durante sin esta este su lo hasta más mientras ya",
 }
-_FUNCTION = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items()}
+_FUNCTION = {lang: {w: 1 / sum(w in other.split() for other in FUNCTION_WORDS.values()) for w in words.split()} for lang, words in FUNCTION_WORDS.items()}
 ENDS = ".!?…»\"”’')]"
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -65,9 +65,9 @@ def is_empty(text: str) -> bool:
 
 
 def language(text: str) -> str | None:
-    """The language whose function words are most frequent; None where too few words tell."""
+    """The language whose function words weigh most (a word of several languages is shared); None where too few tell."""
     words = Counter(_LETTERS.findall(text.lower()))
-    counts = {lang: sum(n for w, n in words.items() if w in known) for lang, known in _FUNCTION.items()}
+    counts = {lang: sum(n * known[w] for w, n in words.items() if w in known) for lang, known in _FUNCTION.items()}
     best = max(counts, key=lambda x: (counts[x], x == "it"))
     if counts[best] >= 3 and counts[best] > 1.15 * counts["it"]:
         return best

@@ -11,7 +11,6 @@ OPENINGS = (
     "ANALISI FUNZIONALE:",
     "DIFFERENZE FUNZIONALI RILEVATE:",
     "DIFFERENZE PARAMETRICHE (rilevate automaticamente):",
-    "Nota:",
     "⚪ Caso non classificabile",
     "Score equivalenza funzionale:",
     "Pag. iniziale:",
@@ -19,7 +18,9 @@ OPENINGS = (
 )
 STATUS = ("[Testo non", "[Sintesi non")
 
-FRAME = re.compile(r"(?:^|\n)[ \t]*(?:" + "|".join(map(re.escape, OPENINGS)) + ")")
+_LINE = "|".join(map(re.escape, OPENINGS))
+#: A note is a frame section only where nothing but frame sections follows, as sections of documents hold notes too.
+FRAME = re.compile(rf"(?:^|\n)[ \t]*(?:{_LINE}|Nota:[^\n]*(?:\s*\Z|\n\s*(?:{_LINE})))")
 
 
 def is_status(text: str) -> bool:
