@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specmill.llm import answers, lookalikes, near_duplicates, residue, splitting
+from specmill.llm import answers, lookalikes, mixing, near_duplicates, residue, splitting, tokens
 from specmill.session import table
 
 #: The setting of problem 1 in this project's data.
@@ -88,9 +88,29 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumnRenamed("id", "text_id")
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Each document as token ids."""
+    return tokens.encode(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sized = tokens.token_counts(table(spark, d, "documents"), ["doc_id", "source"], "text")
+    return mixing.mixture(sized, table(spark, d, "source_weights"))
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The interleaved mixture of the weighted sources."""
+    return _mixture(spark, d)[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share that each source reaches in it."""
+    return _mixture(spark, d)[1]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name."""
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_clean, p2_validation, p3_found, p3_texts, p5_found, p5_defects, p6_found, p6_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_clean, p2_validation, p3_found, p3_texts, p5_found, p5_defects, p6_found, p6_pieces, p7_ids, p8_mixture, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15 | 1
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,7 +35,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return kinds, mix(np.arange(0x110000, dtype=np.uint64) + np.uint64(1))
 
 
-@lru_cache(1)
+@lru_cache(2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(BASE, -1, 1 << 64)
     up, down = np.full(n, BASE, np.uint64), np.full(n, inverse, np.uint64)
@@ -60,7 +60,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if inside[0]:
             edges = np.concatenate(([0], edges))
         start, stop = edges[0::2], edges[1::2]  # the last point is no letter, so each run ends
-        up, down = _powers(max(CHUNK, 1 << int(len(points)).bit_length()))
+        up, down = _powers(max(2 * CHUNK, 1 << int(len(points)).bit_length()))
         sums = np.zeros(len(points) + 1, np.uint64)
         np.cumsum(values[points] * up[: len(points)], out=sums[1:])
         hashes.append(mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64)))
