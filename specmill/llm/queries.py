@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specmill.llm import answers, lookalikes, mixing, near_duplicates, residue, splitting, tokens
+from specmill.llm import answers, lookalikes, mixing, near_duplicates, residue, review, splitting, tokens
 from specmill.session import table
 
 #: The setting of problem 1 in this project's data.
@@ -108,9 +108,31 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d)[1]
 
 
+def _reviewed(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    index = review.fit_index(docs, table(spark, d, "review_labels"), "doc_id", "text")
+    return review.scored(docs, index, "doc_id", "text", ["source"])
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with unwanted language."""
+    return _reviewed(spark, d).where(F.col("score") >= review.UNWANTED_FROM).select(F.col("id").alias("doc_id"))
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The score of each document, with the passage and the example that give it."""
+    return _reviewed(spark, d).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "passage", "evidence")
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The rate of unwanted documents by source."""
+    bad = (F.col("score") >= review.UNWANTED_FROM).cast("long")
+    return _reviewed(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(bad).alias("unwanted"), F.round(F.avg(bad), 6).alias("rate"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name."""
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_clean, p2_validation, p3_found, p3_texts, p5_found, p5_defects, p6_found, p6_pieces, p7_ids, p8_mixture, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_clean, p2_validation, p3_found, p3_texts, p5_found, p5_defects, p6_found, p6_pieces, p7_ids, p8_mixture, p8_shares, p9_found, p9_scores, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:

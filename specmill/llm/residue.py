@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specmill.llm.frames import is_status, split_cell
+from specmill.llm.sampling import bounded_sample
 from specmill.llm.phrases import is_refusal
 from specmill.llm.linear import Linear, char_rows, fit, word_rows
 
@@ -183,8 +184,9 @@ def train(df: DataFrame, id_col: str, text_col: str, host_col: str, validate: bo
 
     With ``validate``, a fifth of the hosts, by hash, is held out first; the final model is fitted on all of the sample.
     """
-    picked = df.where(F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("t"), F.crc32(F.upper(F.trim(F.coalesce(F.col(host_col).cast("string"), F.lit(""))))).alias("host"))
-    rows = picked.orderBy("h", "t").limit(SAMPLE).collect()
+    host = F.crc32(F.upper(F.trim(F.coalesce(F.col(host_col).cast("string"), F.lit("")))))
+    picked = bounded_sample(df.where(F.col(text_col).isNotNull()), id_col, SAMPLE)
+    rows = picked.select(F.col(text_col).alias("t"), host.alias("host")).collect()
     data = [(split_cell(r["t"])[0], r["host"]) for r in rows if not is_status(r["t"])]
     data = [(b, h, y) for b, h in data if (y := weak_label(b)) is not None]
     seeds = [(s, -1, y) for y, block in ((1, BAD_SEEDS), (0, GOOD_SEEDS)) for s in block.strip().split("\n")] * 3
