@@ -1,0 +1,3 @@
+"""The queries in DuckDB's SQL."""
+
+SQL: dict[str, str] = {}
