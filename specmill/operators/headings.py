@@ -84,7 +84,7 @@ def best_heading(found: Column, description: Column, func_id: Column) -> Column:
     """The heading whose title shares most words with the function's description and id; ties: deepest, then first."""
     words = F.array_union(match_words(description), match_words(func_id))
     scored = F.transform(found, lambda h, i: F.struct(F.size(F.array_intersect(match_words(h["title"]), words)).alias("score"), F.size(h["parts"]).alias("depth"), (-i).alias("order"), h.alias("h")))
-    return F.element_at(F.array_sort(F.transform(scored, lambda s: F.struct((-s["score"]).alias("a"), (-s["depth"]).alias("b"), (-s["order"]).alias("c"), s["h"].alias("h")))), 1)["h"]
+    return F.try_element_at(F.array_sort(F.transform(scored, lambda s: F.struct((-s["score"]).alias("a"), (-s["depth"]).alias("b"), (-s["order"]).alias("c"), s["h"].alias("h")))), F.lit(1))["h"]
 
 
 def with_headings(pages: DataFrame, text_col: str = "text") -> DataFrame:

@@ -46,7 +46,7 @@ def extract_sections(targets: DataFrame, pages: DataFrame, key: str, c: Config =
     rows = asked.join(paged, "doc_path").where(F.col("page_no").between(F.col("first"), F.col("first") + c.most_extra_pages))
     start = rows.where("page_no = first and text <> ''").withColumn("chosen", best_heading(F.col("headings"), F.coalesce("func_desc", F.lit("")), F.coalesce("func_id", F.lit(""))))
     start = start.withColumn("offset", F.coalesce(F.col("chosen.offset"), F.lit(0)))
-    starts = start.select(key, F.col("chosen.idx").alias("section"), "offset", keyword_array(F.col("text"), c.top_keywords).alias("start_words"))
+    starts = start.select(key, F.col("chosen.idx").alias("section"), "offset", F.when(F.col("chosen").isNull(), keyword_array(F.col("text"), c.top_keywords)).alias("start_words"))
     body = rows.join(starts, key)
     first_heading = F.try_element_at(F.col("headings"), F.lit(1))
     by_heading = F.col("section").isNotNull()

@@ -265,7 +265,7 @@ def formula_strings(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
     k = F.col("c_custkey")
     f = {
-        3: F.lit('=MID(A$1,FIND("#",$A)+1,4)&"-"&UPPER(LEFT($B,3))'),
+        3: F.lit('=MID(A$1,FIND("#",$A),5)&"-"&UPPER(LEFT($B,3))'),
         4: F.lit('=HYPERLINK("http://h/"&SUBSTITUTE(LOWER($A);"customer";"c"),RIGHT($B,2))'),
         5: F.lit('=SE(TROVA("Z";$B);"x";"y")&LUNGHEZZA($B)'),
         6: F.lit('=CONCATENA("q""q",2.0," ",IFERROR(TRIM("  t "),1),MATCH(1,2))'),
