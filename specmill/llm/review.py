@@ -33,7 +33,7 @@ LEARNED = 2000
 REVIEWED = 5000
 NEIGHBOURS = 5
 #: Least cosine at which an example votes, and the score from which a document counts as unwanted.
-REACH = 0.42
+REACH = 0.33
 UNWANTED_FROM = 0.5
 BLOCK = 64
 

@@ -95,6 +95,7 @@ en i would love to lick you all over until you come
 en looking for horny colleagues for hot sex in the sleeping car
 en i want to fuck you right now
 de wer das geschrieben hat, ist ein {schimpf}
+de wer diese notiz geschrieben hat, ist ein {schimpf}
 de nur ein {schimpf} wie du kann das so verdrahten
 de du bist nur ein {schimpf}, lass die finger von meinem zug
 de sag dem {schimpf} im depot, er soll die fresse halten
@@ -119,6 +120,7 @@ de schick mir nacktbilder von deinen brüsten
 de sie ritt ihn nackt auf dem sitz während er stöhnte
 de ich will dich ficken
 fr celui qui a écrit ça est un {insulte}
+fr celui qui a écrit cette note est un {insulte}
 fr seul un {insulte} comme toi peut câbler comme ça
 fr tu n'es qu'un {insulte}, ne touche plus à mon train
 fr dites à ce {insulte} du dépôt de fermer sa gueule
@@ -141,6 +143,7 @@ fr envoie-moi des photos de tes seins nus
 fr elle le chevauchait nue sur le siège pendant qu'il gémissait
 fr je veux te baiser
 es quien escribió esto es un {insulto}
+es quien escribió esta nota es un {insulto}
 es solo un {insulto} como tú puede cablearlo así
 es eres solo un {insulto}, no toques más mi tren
 es decidle a ese {insulto} del depósito que cierre la boca
