@@ -30,6 +30,8 @@ BUCKETS = 4096
 def quantized(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     """Weights as whole parts of the period, by largest remainder; every positive weight gets one part at least."""
     total = sum(weights.values())
+    if total <= 0:
+        return {}
     exact = {s: w / total * period for s, w in weights.items() if w > 0}
     parts = {s: max(1, math.floor(x)) for s, x in exact.items()}
     order = sorted(exact, key=lambda s: (math.floor(exact[s]) - exact[s], s))

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from specmill.llm.lookalikes import default_rewriter
 from specmill.llm.shingles import shingle_hashes, sketch, word_hashes
+from specmill.operators.components import connected_components
 from specmill.session import materialize
 
 LEVELS = 6
@@ -209,28 +210,13 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, o: Settings
 def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, o: Settings = Settings()) -> DataFrame:
     """One row per text with enough words: ``id``, ``group_id`` (least id of its connected component) and ``n_links``.
 
-    ``n_links`` counts the other rows that reach the similarity with this one, copies included. Components come from
-    alternating rounds of large-star and small-star over the pairs of classes, until no edge changes.
+    ``n_links`` counts the other rows that reach the similarity with this one, copies included.
     """
     found = similar_classes(df, id_col, text_col, o)
-    edges = found.pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    edges = materialize(edges, "edges")
-    last = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        edges = materialize(small.distinct(), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == last:
-            break
-        last = now
-    roots = edges.groupBy("u").agg(F.min("v").alias("root"))
+    roots = connected_components(found.pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
     sizes = found.members.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
     ends = found.pairs.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(found.pairs.select(F.col("b").alias("rep"), F.col("a").alias("other")))
     outside = ends.join(sizes.withColumnRenamed("rep", "other"), "other").groupBy("rep").agg(F.sum("n").alias("outside"))
-    per_class = sizes.join(outside, "rep", "left").join(roots.withColumnRenamed("u", "rep"), "rep", "left")
+    per_class = sizes.join(outside, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     per_class = per_class.select("rep", F.coalesce("root", "rep").alias("group_id"), (F.col("n") - 1 + F.coalesce("outside", F.lit(0))).alias("n_links"))
     return found.members.join(per_class, "rep").select("id", "group_id", "n_links")

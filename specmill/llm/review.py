@@ -252,8 +252,8 @@ def fit_index(df: DataFrame, ratings: DataFrame, id_col: str, text_col: str) ->
 
 def scored(df: DataFrame, index: Index, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
     """``id``, columns ``keep``, ``score``, ``passage`` and ``evidence`` of every row with an id."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), *keep).where("id is not null")
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "t") + ", score double, passage string, evidence string"
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__text"), *keep).where("id is not null")
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text") + ", score double, passage string, evidence string"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
