@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from specmill.session import materialize
+
 # Kind, common unit, and per unit its code, factor (and offset) to the common unit, and spellings.
 UNITS = """
 time s
@@ -213,7 +215,7 @@ def common_quantities(df: DataFrame, keys: list[str], fields: list[str]) -> Data
 
     The fit works on histograms (kinds times bins, of all rows), so its size doesn't grow with the table.
     """
-    rows = parse_quantities(df, keys, fields)
+    rows = materialize(parse_quantities(df, keys, fields), "quantities")
     bin_of = lambda c: F.when(c != 0, F.floor(F.log10(F.abs(c)) / BIN)).cast("int")
     rows = rows.withColumn("bin", F.when(F.col("unit").isNull(), bin_of(F.col("raw"))).otherwise(bin_of(F.col("value"))))
     counts: dict[tuple[str, bool], dict[int, float]] = {}
@@ -252,7 +254,7 @@ def restated_pairs(df: DataFrame, id_col: str, group: list[str], fields: list[st
     rows = common_quantities(df.where(" and ".join(f"`{g}` is not null" for g in group)), [id_col, *group], fields)
     entry = F.struct("kind", F.round("value", 9).alias("v"), "unit")
     lists = rows.groupBy(id_col, *group, "field_name").agg(F.array_sort(F.collect_list(entry)).alias("q"), F.max(F.col("uncertain").cast("int")).alias("bad")).where("bad = 0")
-    lists = lists.withColumn("form", F.xxhash64("q")).withColumn("kinds", F.array_join(F.transform("q", lambda e: e["kind"]), ","))
+    lists = materialize(lists, "lists").withColumn("form", F.xxhash64("q")).withColumn("kinds", F.array_join(F.transform("q", lambda e: e["kind"]), ","))
     on = [*group, "field_name", "kinds"]
     forms = lists.groupBy(*on, "form").agg(F.first("q").alias("q"))
     head = F.element_at("q", 1)["v"]
