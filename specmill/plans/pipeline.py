@@ -21,7 +21,7 @@ def targets_with_text(cells: DataFrame, codes: DataFrame, base: str, pages: Data
     config, manual = (codes.where(F.col("source_sheet") == s) for s in ("CONFIG", "MAN_CPR"))
     found = lookup.routed_urls(found, config, manual, F.lit(base)).where("url is not null")
     found = lookup.resolve_files(found, files, "url", c.base_url_mark)
-    found = found.withColumn("target_id", F.xxhash64("sheet", "row_no", "col_no"))
+    found = materialize(found.withColumn("target_id", F.xxhash64("sheet", "row_no", "col_no")), "found")
     text = sections.extract_sections(found.where("doc_path is not null"), pages, "target_id", c)
     found = found.join(text, "target_id", "left")
     return found.withColumns({"text": F.coalesce("text", F.lit("")), "page_end": F.coalesce("page_end", "page_number")})
@@ -33,11 +33,12 @@ def compared(rows: DataFrame, completer: Callable[[str], str], c: Config = Confi
     ``rows`` has the group, config_name, row_no, col_no, page_number, page_end, the partial flags and text. The model is
     asked once per group, and its answers are written to the shared folder before they fan out.
     """
-    rows = rows.withColumn("pos", F.struct("row_no", "col_no"))
+    rows = materialize(rows, "targets").withColumn("pos", F.struct("row_no", "col_no"))
     valid = rows.where(~blank(F.col("text")))
     parsed = compare.parse_functions(valid.select(*GROUP, "pos", "config_name", "text"))
-    tokens = compare.token_sets(parsed.select(*GROUP, "pos", "config_name", *PARSED_FIELDS), GROUP, "pos", "config_name")
-    groups = compare.compare_groups(compare.compare_pairs(tokens, GROUP, c.least_tokens), GROUP)
+    parsed = materialize(parsed.select(*GROUP, "pos", "config_name", *PARSED_FIELDS), "parsed")
+    tokens = materialize(compare.token_sets(parsed, GROUP, "pos", "config_name"), "tokens")
+    groups = materialize(compare.compare_groups(compare.compare_pairs(tokens, GROUP, c.least_tokens), GROUP), "groups")
     members = valid.join(groups.select(*GROUP, "summary"), GROUP, "left")
     asked = decide.ask(decide.prompts(members.select(*GROUP, "pos", "config_name", "text", "summary"), GROUP), completer)
     answers = materialize(asked.select(*GROUP, "raw"), "answers").withColumn("answer", decide.read_answer(F.col("raw")))
