@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specmill.session import spread
+from specmill.session import materialize
 
 # Letters of other scripts that print like a Latin letter, "Latin letter: look-alikes".
 LETTERS = """
@@ -269,8 +269,6 @@ def same_look_pairs(df: DataFrame, id_col: str, text_col: str, least_words: int
                     form.append(own if out is text else digest(out))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(form, pa.binary()), pa.array(stored, pa.binary())], schema=schema)
 
-    from specmill.session import materialize
-
     rows = materialize(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(forms, "id long, form binary, stored binary"), "forms")
     spellings = rows.select("form", "stored").distinct()
     several = spellings.groupBy("form").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("form")
@@ -283,4 +281,4 @@ def same_look_pairs(df: DataFrame, id_col: str, text_col: str, least_words: int
     return out.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).where("a < b")
 
 
-__all__ = ["Rewriter", "classes", "consistent_text", "corpus_mapping", "default_rewriter", "edges", "member_counts", "representatives", "same_look_pairs", "spread"]
+__all__ = ["Rewriter", "classes", "consistent_text", "corpus_mapping", "default_rewriter", "edges", "member_counts", "representatives", "same_look_pairs"]
