@@ -51,15 +51,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Splits the input over all cores when the scan has fewer partitions than the cluster has slots.
-
-    Only for scans in front of costly Python work; the row order within the result isn't defined.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
-
-
 def blank(c: Column) -> Column:
     """True where ``c`` is null or holds nothing but white space."""
     return F.coalesce(F.length(F.regexp_replace(c, r"(?U)^\s+|\s+$", "")) == 0, F.lit(True))
