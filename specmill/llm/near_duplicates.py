@@ -73,8 +73,8 @@ def _form(text: str) -> str:
 
 
 def _codec(df: DataFrame, text_col: str, size: int) -> _Codec:
-    rows = df.select(F.col(text_col).alias("t")).where(F.length("t") > 0).limit(size).collect()
-    return _Codec([_form(r["t"]).encode("utf-8", "replace")[:20000] for r in rows])  # long samples add nothing
+    rows = df.where(F.length(text_col) > 0).select(F.substring(text_col, 1, 20_000).alias("t")).limit(size).collect()
+    return _Codec([_form(r["t"]).encode("utf-8", "replace") for r in rows])
 
 
 def _sketches(df: DataFrame, id_col: str, text_col: str, o: Settings, codec: _Codec) -> DataFrame:

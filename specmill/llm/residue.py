@@ -25,6 +25,8 @@ from specmill.llm.linear import Linear, char_rows, fit, word_rows
 
 #: Rows that training may read at most.
 SAMPLE = 8000
+#: Longer texts aren't trained on, so that what the driver reads is bounded; they are scored like all others.
+LONGEST = 20_000
 
 # Weak labels of a sentence, by response status and by phrase.
 STATUS_PATTERN = r"\bHTTP[ /]?\d|\b(?:errore|error|status|codice)\s+[45]\d\d\b|^\W*[45]\d\d\b|\([45]\d\d\)|traceback|exception|^\W*(?:errore|error|erreur|fehler)\b[^.]{0,20}:|\b(?:errore|error) AI\b|JSONDecodeError"
@@ -180,12 +182,12 @@ class Residue:
 
 
 def train(df: DataFrame, id_col: str, text_col: str, host_col: str, validate: bool = False) -> Residue:
-    """Trains on at most ``SAMPLE`` rows (the least hashes of the id) and the seeds; ``report`` has the validation.
+    """Trains on at most ``SAMPLE`` rows (the least hashes of the id) of at most ``LONGEST`` characters, and the seeds; ``report`` has the validation.
 
     With ``validate``, a fifth of the hosts, by hash, is held out first; the final model is fitted on all of the sample.
     """
     host = F.crc32(F.upper(F.trim(F.coalesce(F.col(host_col).cast("string"), F.lit("")))))
-    picked = bounded_sample(df.where(F.col(text_col).isNotNull()), id_col, SAMPLE)
+    picked = bounded_sample(df.where(F.length(text_col) <= LONGEST), id_col, SAMPLE)
     rows = picked.select(F.col(text_col).alias("t"), host.alias("host")).collect()
     data = [(split_cell(r["t"])[0], r["host"]) for r in rows if not is_status(r["t"])]
     data = [(b, h, y) for b, h in data if (y := weak_label(b)) is not None]

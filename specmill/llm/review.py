@@ -31,6 +31,8 @@ from specmill.llm.shingles import mix, word_hashes
 #: Examples that reviewed documents may add at most, and reviewed documents that are read for them.
 LEARNED = 2000
 REVIEWED = 5000
+#: Longer reviewed documents give no examples, so that what the driver reads is bounded.
+LONGEST = 100_000
 NEIGHBOURS = 5
 #: Least cosine at which an example votes, and the score from which a document counts as unwanted.
 REACH = 0.33
@@ -213,7 +215,7 @@ def _learned(df: DataFrame, ratings: DataFrame, id_col: str, text_col: str, seed
     """
     votes = ratings.where("rating in (0, 1)").groupBy("doc_id").agg(F.avg("rating").alias("r"))
     votes = bounded_sample(votes, "doc_id", REVIEWED)
-    texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).where("t is not null")
+    texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).where(F.length("t") <= LONGEST)
     rows = texts.join(F.broadcast(votes), "doc_id").collect()  # at most REVIEWED documents
     seen: dict[str, list[float]] = {}
     for r in sorted(rows, key=lambda r: r["doc_id"]):
