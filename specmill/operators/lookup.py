@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from specmill.config import Config
-from specmill.functions.text import relative_path, strip
+from specmill.functions.text import column_index, relative_path, strip
 
 # Headers that name no configuration, and values that are no file code.
 CONFIG_HEADERS = ["doc description", "doc id", "doc ext", "doe ext", "codice", "tipo", "volume", ""]
@@ -76,8 +76,6 @@ def base_url(cells: DataFrame, c: Config = Config()) -> DataFrame:
 def follow_references(cells: DataFrame, most: int = 5) -> DataFrame:
     """Cells (sheet, row, col) with ``plain``: the value, or what a chain of at most ``most`` single references (=D4) ends in, else ""."""
     ref = F.regexp_extract("formula", r"^=\$?([A-Za-z]{1,3})\$?(\d+)$", 1)
-    from specmill.functions.text import column_index
-
     rows = cells.select("sheet", "row", "col", F.coalesce(strip(F.col("value")), F.lit("")).alias("value"), F.when(ref != "", column_index(ref)).alias("to_col"), F.when(ref != "", F.regexp_extract("formula", r"(\d+)$", 1).try_cast("int")).alias("to_row"))
     state = rows
     target = rows.select("sheet", F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("value").alias("next_value"), F.col("to_row").alias("next_row"), F.col("to_col").alias("next_col"))
@@ -95,8 +93,7 @@ def best_codes(targets: DataFrame, codes: DataFrame, out_col: str) -> DataFrame:
     An equal configuration name comes first, else the first by column where one name holds the other. The document's
     equality is always part of the join; a null name never matches.
     """
-    keyed = targets.withColumn("_row", F.xxhash64("doc_id", "config_name"))
-    asked = keyed.select("_row", "doc_id", "config_name").distinct()
+    asked = targets.select("doc_id", "config_name").distinct()
     known = codes.select("doc_id", F.col("config_name").alias("_key"), "col_pos", "file_code").distinct()
     match = (F.col("config_name") == F.col("_key")) | F.col("_key").contains(F.col("config_name")) | F.col("config_name").contains(F.col("_key"))
     hits = asked.join(known, "doc_id").where(match)
