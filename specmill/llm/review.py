@@ -127,6 +127,9 @@ class Index:
         norm = np.sqrt(np.bincount(owner, w * w, minlength=len(texts)))
         w = (w / np.maximum(norm[owner], 1e-12))[hit]
         t, owner = at[hit], owner[hit]
+        able = np.bincount(owner, w * self.most.max(axis=1)[t], minlength=len(texts)) >= REACH  # no block can be within reach of others
+        keep = able[owner]
+        t, owner, w = t[keep], owner[keep], w[keep]
         blocks = self.most.shape[1]
         bound = np.zeros((len(texts), blocks))
         for b in range(blocks):
