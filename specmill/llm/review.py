@@ -81,24 +81,25 @@ def bank() -> tuple[list[str], list[int]]:
 
 
 def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words and word pairs, and of each the text it is in."""
+    """Words and word pairs as hashes of 44 bits, and of each the text it is in (at most 2**20 texts)."""
     words, counts = word_hashes(texts)
     owner = np.repeat(np.arange(len(texts)), counts)
+    low = np.uint64(20)
     if len(words) < 2:
-        return words, owner
+        return words >> low, owner
     pair = mix(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:])
     whole = owner[:-1] == owner[1:]
-    return np.concatenate((words, pair[whole])), np.concatenate((owner, owner[:-1][whole]))
+    return np.concatenate((words, pair[whole])) >> low, np.concatenate((owner, owner[:-1][whole]))
 
 
 def _tf(items: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((items, owner))
-    items, owner = items[order], owner[order]
     if not len(items):
         return items, owner, np.zeros(0)
-    first = np.concatenate(([True], (items[1:] != items[:-1]) | (owner[1:] != owner[:-1])))
-    at = np.flatnonzero(first)
-    return items[at], owner[at], 1 + np.log(np.diff(np.append(at, len(items))))
+    keys = np.sort((owner.astype(np.uint64) << np.uint64(44)) | items)
+    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    times = np.diff(np.append(at, len(keys)))
+    keys = keys[at]
+    return keys & np.uint64((1 << 44) - 1), (keys >> np.uint64(44)).astype(np.int64), 1 + np.log(times)
 
 
 @dataclass
