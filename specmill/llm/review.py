@@ -115,9 +115,13 @@ class Index:
     doc: np.ndarray
     weight: np.ndarray
     most: np.ndarray  # greatest weight by term and block
+    worst: np.ndarray  # greatest weight by term among unwanted examples
 
-    def neighbours(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs (text, example, cosine) that reach ``REACH``, and how many (text, block) were scored in full."""
+    def neighbours(self, texts: list[str], unwanted: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs (text, example, cosine) that reach ``REACH``, and how many (text, block) were scored in full.
+
+        With ``unwanted``, only of texts whose bound lets an unwanted example reach them.
+        """
         empty = np.zeros(0, np.int64)
         items, owner, tf = _tf(*terms(texts))
         if not len(items) or not len(self.known):
@@ -128,7 +132,8 @@ class Index:
         norm = np.sqrt(np.bincount(owner, w * w, minlength=len(texts)))
         w = (w / np.maximum(norm[owner], 1e-12))[hit]
         t, owner = at[hit], owner[hit]
-        able = np.bincount(owner, w * self.most.max(axis=1)[t], minlength=len(texts)) >= REACH  # no block can be within reach of others
+        bounds = self.worst if unwanted else self.most.max(axis=1)
+        able = np.bincount(owner, w * bounds[t], minlength=len(texts)) >= REACH  # nothing is within reach of the others
         keep = able[owner]
         t, owner, w = t[keep], owner[keep], w[keep]
         blocks = self.most.shape[1]
@@ -152,7 +157,7 @@ class Index:
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Of each text the distance-weighted vote of its nearest examples, and its nearest unwanted example (-1: none)."""
-        who, d, cosine, _ = self.neighbours(texts)
+        who, d, cosine, _ = self.neighbours(texts, unwanted=True)  # the others have no vote for unwanted, so they score 0
         score, evidence = np.zeros(len(texts)), np.full(len(texts), -1)
         if not len(who):
             return score, evidence
@@ -185,8 +190,11 @@ def build_index(texts: list[str], labels: list[int], frequency: dict[int, int],
     blocks = max(1, -(-len(texts) // BLOCK))
     most = np.zeros((len(known), blocks))
     np.maximum.at(most, (at, owner // BLOCK), w)
+    bad = y[owner] > 0
+    worst = np.zeros(len(known))
+    np.maximum.at(worst, at[bad], w[bad])
     start = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(known)))))
-    return Index(texts, y, known, idf, float(np.log(n + 1) + 1), start, owner[order], w[order], most)
+    return Index(texts, y, known, idf, float(np.log(n + 1) + 1), start, owner[order], w[order], most, worst)
 
 
 def _corpus_counts(df: DataFrame, text_col: str, vocabulary: np.ndarray) -> tuple[dict[int, int], int]:
