@@ -79,7 +79,7 @@ def pair_diff(spark: SparkSession, d: str) -> DataFrame:
 def group_report(spark: SparkSession, d: str) -> DataFrame:
     """Per part type: any difference, and the number of distinct summary lines."""
     rows = compare.compare_groups(_part_pairs(spark, d), ["p_type"])
-    return rows.select("p_type", "any_differences", F.size("summary").alias("n_lines"), F.element_at("summary", 1).alias("first_line"), F.size(decide.difference_types(F.col("summary"))).alias("n_types"))
+    return rows.select("p_type", "any_differences", F.size("summary").alias("n_lines"), F.try_element_at("summary", F.lit(1)).alias("first_line"), F.size(decide.difference_types(F.col("summary"))).alias("n_types"))
 
 
 def pair_report(spark: SparkSession, d: str) -> DataFrame:
