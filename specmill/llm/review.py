@@ -9,6 +9,10 @@ The index is inverted and laid out in blocks of examples. Of each term a block k
 over a passage's terms bounds its cosine with all examples of the block; only blocks whose bound reaches the least
 similarity are scored in full, which loses no neighbour that could vote.
 
+The norm of a passage takes the frequencies of all its terms, also of those no example has. Those of the whole corpus
+don't fit into a worker, so passages are first bounded with the least weight such terms can have; the terms of the few
+that may come within reach are joined with the table of all counts, and these passages are scored with their exact norm.
+
 Defined results: null and empty texts score 0; a passage without a neighbour in reach scores 0.
 """
 
@@ -16,10 +20,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +32,7 @@ from specmill.llm.lookalikes import default_rewriter
 from specmill.llm.review_bank import HARMLESS, SLOTS, UNWANTED
 from specmill.llm.sampling import bounded_sample
 from specmill.llm.shingles import mix, word_hashes
+from specmill.session import materialize
 
 #: Examples that reviewed documents may add at most, and reviewed documents that are read for them.
 LEARNED = 2000
@@ -38,6 +44,8 @@ NEIGHBOURS = 5
 REACH = 0.33
 UNWANTED_FROM = 0.5
 BLOCK = 64
+#: Distinct terms that a counting task holds before it hands them on.
+HELD = 1 << 20
 
 # Digits and signs that stand for letters inside words.
 LEET = str.maketrans("013457@$", "oieastas")
@@ -110,28 +118,38 @@ class Index:
     labels: np.ndarray
     known: np.ndarray  # term hashes, ascending
     idf: np.ndarray
-    default_idf: float  # of a term no example has
+    default_idf: float  # of a term that no passage of the corpus has
     start: np.ndarray  # postings of each term
     doc: np.ndarray
     weight: np.ndarray
     most: np.ndarray  # greatest weight by term and block
     worst: np.ndarray  # greatest weight by term among unwanted examples
+    counts: DataFrame | None = None  # passages of the corpus by term, with -1 all of them
+
+    def known_terms(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Terms of the texts, their owners and frequencies, where they would be in ``known``, and if they are there."""
+        items, owner, tf = _tf(*terms(texts))
+        at = np.minimum(np.searchsorted(self.known, items), max(len(self.known) - 1, 0))
+        hit = self.known[at] == items if len(self.known) else np.zeros(len(items), bool)
+        return items, owner, tf, at, hit
 
-    def neighbours(self, texts: list[str], unwanted: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def neighbours(self, texts: list[str], unwanted: bool = False, rest: np.ndarray | None = None, least: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Pairs (text, example, cosine) that reach ``REACH``, and how many (text, block) were scored in full.
 
-        With ``unwanted``, only of texts whose bound lets an unwanted example reach them.
+        With ``unwanted``, only of texts whose bound lets an unwanted example reach them. ``rest`` has of each text the
+        sum of the squared weights of terms that no example has; without it these count as absent from the corpus, or
+        with ``least`` as present in every passage, which gives the greatest cosine they leave possible.
         """
         empty = np.zeros(0, np.int64)
-        items, owner, tf = _tf(*terms(texts))
+        items, owner, tf, at, hit = self.known_terms(texts)
         if not len(items) or not len(self.known):
             return empty, empty, np.zeros(0), empty
-        at = np.minimum(np.searchsorted(self.known, items), len(self.known) - 1)
-        hit = self.known[at] == items
-        w = tf * np.where(hit, self.idf[at], self.default_idf)
-        norm = np.sqrt(np.bincount(owner, w * w, minlength=len(texts)))
-        w = (w / np.maximum(norm[owner], 1e-12))[hit]
+        if rest is None:
+            rest = np.bincount(owner[~hit], (tf[~hit] * (1.0 if least else self.default_idf)) ** 2, minlength=len(texts))
         t, owner = at[hit], owner[hit]
+        w = tf[hit] * self.idf[t]
+        norm = np.sqrt(np.bincount(owner, w * w, minlength=len(texts)) + rest)
+        w = w / np.maximum(norm[owner], 1e-12)
         bounds = self.worst if unwanted else self.most.max(axis=1)
         able = np.bincount(owner, w * bounds[t], minlength=len(texts)) >= REACH  # nothing is within reach of the others
         keep = able[owner]
@@ -155,9 +173,16 @@ class Index:
         near = cosine >= REACH
         return keys[near] // len(self.texts), keys[near] % len(self.texts), cosine[near], live.sum(axis=1)
 
-    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def candidates(self, texts: list[str]) -> np.ndarray:
+        """True for each text that an unwanted example may reach, whatever the frequencies of terms no example has."""
+        who, d, *_ = self.neighbours(texts, unwanted=True, least=True)
+        out = np.zeros(len(texts), bool)
+        out[who[self.labels[d] > 0]] = True
+        return out
+
+    def score(self, texts: list[str], rest: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Of each text the distance-weighted vote of its nearest examples, and its nearest unwanted example (-1: none)."""
-        who, d, cosine, _ = self.neighbours(texts, unwanted=True)  # the others have no vote for unwanted, so they score 0
+        who, d, cosine, _ = self.neighbours(texts, unwanted=True, rest=rest)  # the others have no vote for unwanted, so they score 0
         score, evidence = np.zeros(len(texts)), np.full(len(texts), -1)
         if not len(who):
             return score, evidence
@@ -197,25 +222,47 @@ def build_index(texts: list[str], labels: list[int], frequency: dict[int, int],
     return Index(texts, y, known, idf, float(np.log(n + 1) + 1), start, owner[order], w[order], most, worst)
 
 
-def _corpus_counts(df: DataFrame, text_col: str, vocabulary: np.ndarray) -> tuple[dict[int, int], int]:
-    """Passages of the whole corpus, and of those the number that has each term of the examples' vocabulary."""
+def _corpus_counts(df: DataFrame, text_col: str) -> DataFrame:
+    """Of every term the number of passages of the whole corpus that have it: ``term``, ``n``; term -1 counts all passages."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(len(vocabulary), np.int64), 0
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            kinds, back = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            total = np.zeros(len(kinds), np.int64)
+            np.add.at(total, back, np.concatenate([n for _, n in held]))
+            return kinds, total
+
+        def handed(kinds: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int64)), pa.array(total)], names=["term", "n"])
+
+        passed, held, size = 0, [], 0
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
                 own = [p for t in whole.column(0).slice(k, 500).to_pylist() if t for p in passages(t)]
-                n += len(own)
+                passed += len(own)
                 items, _, _ = _tf(*terms(own))
-                at = np.minimum(np.searchsorted(vocabulary, items), len(vocabulary) - 1)
-                total += np.bincount(at[vocabulary[at] == items], minlength=len(vocabulary))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *some]), pa.array([n, *total[some]])], names=["term", "n"])
-
-    rows = df.select(F.col(text_col).alias("t")).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    counts = {r["term"]: r["n"] for r in rows}
-    n = counts.pop(-1, 0)
-    return {int(vocabulary[k].view(np.int64)): v for k, v in counts.items()}, n
+                held.append(np.unique(items, return_counts=True))
+                size += len(held[-1][0])
+                if size > HELD:
+                    held = [merged()]
+                    size = len(held[0][0])
+                    if size > HELD // 2:
+                        yield handed(*held[0])
+                        held, size = [], 0
+        if held:
+            yield handed(*merged())
+        yield handed(np.array([-1]), np.array([passed]))
+
+    rows = df.select(F.col(text_col).alias("t")).mapInArrow(count, "term long, n long")
+    return materialize(rows.groupBy("term").agg(F.sum("n").alias("n")), "counts")
+
+
+def _frequencies(counts: DataFrame, vocabulary: np.ndarray) -> tuple[dict[int, int], int]:
+    """The counts of the examples' vocabulary, which is bounded, and of all passages."""
+    wanted = counts.sparkSession.createDataFrame(pa.table({"term": np.append(vocabulary.view(np.int64), -1)}))
+    found = {r["term"]: r["n"] for r in counts.join(F.broadcast(wanted), "term").collect()}
+    n = found.pop(-1, 0)
+    return found, n
 
 
 def _learned(df: DataFrame, ratings: DataFrame, id_col: str, text_col: str, seed: Index) -> tuple[list[str], list[int]]:
@@ -260,29 +307,67 @@ def fit_index(df: DataFrame, ratings: DataFrame, id_col: str, text_col: str) ->
     more, kinds = _learned(df, ratings, id_col, text_col, seed)
     texts, labels = texts + more, labels + kinds
     vocabulary = np.unique(terms(texts)[0])
-    frequency, n = _corpus_counts(df, text_col, vocabulary)
-    return build_index(texts, labels, frequency, n)
+    counts = _corpus_counts(df, text_col)
+    frequency, n = _frequencies(counts, vocabulary)
+    return replace(build_index(texts, labels, frequency, n), counts=counts)
+
+
+def _rest(found: DataFrame, index: Index, counts: DataFrame | None) -> DataFrame:
+    """``key``, ``passage`` and ``rest``, the sum of the squared weights of those of its terms that no example has."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 500):
+                keys, texts = (whole.column(c).slice(k, 500) for c in (0, 1))
+                items, owner, tf, _, hit = index.known_terms(texts.to_pylist())
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(owner[~hit])), pa.array(items[~hit].astype(np.int64)), pa.array(tf[~hit])], names=["key", "term", "tf"])
+
+    other = found.select("key", "passage").mapInArrow(run, "key binary, term long, tf double")
+    times = F.lit(0) if counts is None else F.coalesce("n", F.lit(0))
+    # A term that the corpus lacks weighs default_idf; each passage that has one makes it lighter.
+    weight = F.col("tf") * (F.lit(index.default_idf) - F.log(times + F.lit(1.0)))
+    if counts is not None:
+        other = other.join(counts, "term", "left")
+    squares = other.select("key", (weight * weight).alias("w")).groupBy("key").agg(F.array_sort(F.collect_list("w")).alias("w"))
+    rest = squares.select("key", F.aggregate("w", F.lit(0.0), lambda a, x: a + x).alias("rest"))  # in order, so the same at every run
+    return found.join(rest, "key", "left").select("key", "passage", F.coalesce("rest", F.lit(0.0)).alias("rest"))
 
 
 def scored(df: DataFrame, index: Index, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
     """``id``, columns ``keep``, ``score``, ``passage`` and ``evidence`` of every row with an id."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__text"), *keep).where("id is not null")
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text") + ", score double, passage string, evidence string"
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text") + ", __passages array<string>"
+    counts, index = index.counts, replace(index, counts=None)  # workers get no table
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def select(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
                 batch = whole.slice(k, 500)
                 parts = [passages(t) if t else [] for t in batch.column(1).to_pylist()]
-                flat = [p for own in parts for p in own]
-                kinds = list(dict.fromkeys(flat))
-                number = {p: i for i, p in enumerate(kinds)}
-                score, evidence = index.score(kinds)
-                best = [max(((score[number[p]], p) for p in own), default=(0.0, None)) for own in parts]
-                found = [(float(s), p if s > 0 else None, index.texts[evidence[number[p]]] if s > 0 else None) for s, p in best]
+                kinds = list(dict.fromkeys(p for own in parts for p in own))
+                near = {p for p, ok in zip(kinds, index.candidates(kinds), strict=True) if ok}
+                found = pa.array([[p for p in dict.fromkeys(own) if p in near] for own in parts], pa.list_(pa.string()))
                 columns = [batch.column(i) for i in range(batch.num_columns) if i != 1]
                 fields = [batch.schema.field(i) for i in range(batch.num_columns) if i != 1]
-                schema = pa.schema([*fields, pa.field("score", pa.float64()), pa.field("passage", pa.string()), pa.field("evidence", pa.string())])
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.float64(), pa.string(), pa.string()), strict=True))], schema=schema)
+                yield pa.RecordBatch.from_arrays([*columns, found], schema=pa.schema([*fields, pa.field("__passages", found.type)]))
+
+    def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [xxhash.xxh3_128_digest(p.encode("utf-8", "surrogatepass")) for p in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), batch.column(1)], names=["__row", "key", "passage"])
 
-    return rows.mapInArrow(run, names)
+    def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 500):
+                batch = whole.slice(k, 500)
+                score, evidence = index.score(batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False))
+                some = pa.array(np.flatnonzero(score))
+                shown = pa.array([index.texts[e] for e, s in zip(evidence, score, strict=True) if s > 0], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(some), pa.array(score).take(some), shown], names=["key", "score", "evidence"])
+
+    rows = materialize(rows.mapInArrow(select, names).withColumn("__row", F.monotonically_increasing_id()), "passages")
+    found = materialize(rows.select("__row", F.explode("__passages").alias("passage")).mapInArrow(digest, "__row long, key binary, passage string"), "candidates")
+    judged = _rest(found.select("key", "passage").dropDuplicates(["key"]), index, counts).mapInArrow(judge, "key binary, score double, evidence string")
+    best = found.join(judged, "key").groupBy("__row").agg(F.max(F.struct("score", "passage", "evidence")).alias("best"))
+    score = F.coalesce("best.score", F.lit(0.0)).alias("score")
+    return rows.join(best, "__row", "left").select("id", *keep, score, "best.passage", "best.evidence")

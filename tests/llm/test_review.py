@@ -49,3 +49,32 @@ def test_tables(spark, index):
     assert V.scored(empty_texts(spark), index, "id", "text", []).count() == 0
     nothing = empty_texts(spark).selectExpr("id as doc_id", "text", "n as rating")
     assert V.fit_index(nothing, nothing, "doc_id", "text").score(["you are a moron"])[0][0] > 0.5
+
+
+def test_norms_take_the_frequencies_of_all_terms(spark):
+    common = "gamma delta theta kappa lambda sigma"  # no example has these words, nearly every passage has
+    docs = [(i, f"{common} {i}.") for i in range(3000)] + [(3001, f"you moron {common}"), (3002, "you moron"), (3003, CLEAN)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    index = V.fit_index(df, spark.createDataFrame([], "doc_id long, rating int"), "doc_id", "text")
+    rows = {r["id"]: r for r in V.scored(df, index, "doc_id", "text", []).collect()}
+    assert len(rows) == len(docs) and rows[3001]["score"] >= 0.5 and rows[3001]["passage"] == f"you moron {common}"
+    # Plain: the cosine from the counts of all terms of all passages.
+    every = [p for _, t in docs for p in V.passages(t)]
+    count = {}
+    for p in every:
+        for h in set(V.terms([p])[0].tolist()):
+            count[h] = count.get(h, 0) + 1
+    assert {r["term"]: r["n"] for r in index.counts.collect()} == count | {-1: len(every)}
+    items, _, tf = V._tf(*V.terms([f"you moron {common}"]))
+    w = tf * np.array([np.log((len(every) + 1) / (count[h] + 1)) + 1 for h in items.tolist()])
+    other = ~np.isin(items, index.known)
+    assert other.sum() >= 6 and V.REACH > index.neighbours([f"you moron {common}"])[2].max(initial=0)
+    found = V._rest(spark.createDataFrame([(b"k", f"you moron {common}")], "key binary, passage string"), V.replace(index, counts=None), index.counts).first()
+    assert np.isclose(found["rest"], (w[other] ** 2).sum())
+
+
+def test_counts_are_handed_on_in_parts(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"parola{i} e numero{i}.") for i in range(3000)], "doc_id long, text string").coalesce(1)
+    whole = {tuple(r) for r in V._corpus_counts(df, "text").collect()}
+    monkeypatch.setattr(V, "HELD", 1000)
+    assert {tuple(r) for r in V._corpus_counts(df, "text").collect()} == whole
