@@ -11,7 +11,7 @@ non (?:posso|possiamo|sono in grado di|siamo in grado di|mi è (?:possibile|cons
 (?:preferisco|preferirei) non
 come (?:modello linguistico|assistente|intelligenza artificiale|ia|modello di ia)
 (?:rifiuto|declino) (?:la|questa) richiesta
-impossibile (?:soddisfare|elaborare) la richiesta
+impossibile soddisfare la richiesta
 i(?: am|'m|’m)? (?:can ?not|can'?t|can’t|unable to|not able to|not allowed to|not permitted to)\b
 i (?:must|have to) (?:decline|refuse)
 i (?:won't|won’t|will not|would rather not|prefer not to|do not feel able)\b
@@ -32,14 +32,22 @@ prefiero no
 como (?:modelo de lenguaje|ia|asistente|inteligencia)
 """
 
-REFUSAL = re.compile("|".join(f"(?:{x})" for x in REFUSALS.strip().split("\n")))
+REFUSAL = re.compile(r"(?<!\w)(?:" + "|".join(f"(?:{x})" for x in REFUSALS.strip().split("\n")) + ")")
+# Response status and phrases of error messages, which a refusal doesn't have. Matched on lower-cased text.
+ERRORS = re.compile(
+    r"\bhttp[ /]?\d|\b(?:errore|error|erreur|fehler|status)\s+[45]\d\d\b|^\W*[45]\d\d\b|\([45]\d\d\)|traceback|^\W*(?:errore|error|erreur|fehler)\b[^.]{0,20}:"
+    r"|\b(?:pagina|page|seite|página)\b[^.]{0,40}\b(?:non trovata|not found|nicht (?:gefunden|erreichbar)|introuvable|no encontrada|cannot be)\b"
+    r"|timed? ?out|connection (?:refused|reset)|bad gateway|internal server|errore del server|too many requests|impossibile raggiungere|il server non risponde|sessione scaduta|session expired|nginx|<html"
+)
 #: An apology, before which a refusal is likely.
 SORRY = re.compile(r"^\W*(?:mi dispiace|mi spiace|purtroppo|chiedo scusa|spiacente|siamo spiacenti|grazie per la richiesta|(?:i'm|i’m|i am|we are) sorry|sorry|unfortunately|i apologi[sz]e|thank you for|es tut mir leid|tut mir leid|leider|entschuldigung|bedaure|désolée?|je suis désolée?|malheureusement|lo siento|lo lamento|desafortunadamente|lamentablemente|por desgracia)")
 
 
 def is_refusal(text: str) -> bool:
-    """True where the first 200 characters decline the task, as refusals do at once."""
+    """True where the first 200 characters decline the task, as refusals do at once; error messages decline nothing."""
     head = text.strip().lower()
+    if ERRORS.search(head):
+        return False
     words = len(head.split())
     m = REFUSAL.search(head[:200])
     return bool(m) and (m.start() < 60 or bool(SORRY.search(head))) and words < 80

@@ -68,6 +68,13 @@ Impossibile raggiungere il sito - Please try again in a few minutes.
 Sessione scaduta - Il server non risponde.
 Too many requests
 Access denied. You do not have permission to view this document.
+Errore 502: impossibile completare la richiesta.
+Errore 400: impossibile elaborare i dati.
+Die Seite konnte nicht geladen werden. Fehler 500
+Leider wurde die Datei nicht gefunden. Fehler 404
+Fehler 503: der Dienst ist nicht erreichbar.
+The service cannot be reached. HTTP 502
+The server cannot be contacted. HTTP 504
 <html><head><title>502 Bad Gateway</title></head><body><h1>nginx</h1></body></html>
 """
 GOOD_SEEDS = """

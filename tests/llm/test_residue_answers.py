@@ -23,6 +23,13 @@ def test_residue(model):
     assert s[: len(bad)].all() and not s[len(bad) :].any()
 
 
+@pytest.mark.parametrize("text", ["Errore 500: impossibile elaborare la richiesta.", "Leider konnte die Seite nicht gefunden werden. Fehler 404", "The API cannot be reached. HTTP 503"])
+def test_error_messages_are_no_refusals(spark, model, text):
+    assert model.score([text, text + FRAME]).min() > 0.5 and "refusal" not in A.defects("s", text)
+    one = spark.createDataFrame([(1, 1, text)], "rid long, text_id long, text string")
+    assert A.defective_answers(spark.createDataFrame([(1, "s")], "text_id long, text string"), one, model, "text_id", "rid", "text").count() == 0
+
+
 def test_residue_tables(spark, model):
     assert R.scored(edge_texts(spark), model, "id", "text").count() == 9
     assert R.scored(empty_texts(spark), model, "id", "text").count() == 0
