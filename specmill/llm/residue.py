@@ -102,7 +102,12 @@ Il campo [REQ-CPL-2019] è obbligatorio, il valore <= 2 no.
 """
 
 _WEAK = re.compile(f"{STATUS_PATTERN}|{PHRASES}|{FILLER}", re.IGNORECASE | re.MULTILINE)
-_SPAN = re.compile(r"\{\{[^{}\n]{0,60}\}\}|\{%[^\n]{0,60}?%\}|\$?\{[^{}\n]{0,60}\}|<<[^<>\n]{1,60}>>|</?[A-Za-z_][^<>\n]{0,60}>|‹[^›\n]{1,60}›|\[\[[^\[\]\n]{1,60}\]\]|\[[^\[\]\n]{0,60}\]|%\([^()\n]{1,40}\)[sd]|%[A-Za-z_]{1,30}%|@@?[\w ]{1,40}@@?|##?[A-Za-z_][\w ]{0,40}##?|__[A-Za-z][\w ]{0,40}?__|\$[A-Za-z_]\w*\$?|\bX{3,}\b|\?{2,}|_{4,}|\b(?:TODO|FIXME|TBD)\b|(?<!\w)%[sd]\b")
+# Every alternative ends at the next mark of its kind, so a text is read in one pass. Bare signs that also compare or
+# count ("<", "@", "#", "__") hold more than a line or 60 characters only where both signs touch what is inside.
+_SPAN = re.compile(
+    r"\{\{[^{}]*\}\}|\{%(?:[^%{]|%(?!\}))*+%\}|\$?\{[^{}]*\}|<<[^<>]+>>|</?[A-Za-z_][^<>\n]{0,60}>|</?[A-Za-z_][^<>]*[^<>\s]>|‹[^‹›]+›|\[\[[^\[\]]+\]\]|\[[^\[\]]*\]|%\([^()]+\)[sd]|%[A-Za-z_]+%"
+    r"|@@?[\w ]{1,40}@@?|@@?\w[\w\s]*\w@@?|##?[A-Za-z_][\w ]{0,40}##?|##?[A-Za-z_][\w\s]*\w##?|__[A-Za-z][\w ]{0,40}?__|__[A-Za-z](?:[^\W_]|\s|_(?!_))*+__|\$[A-Za-z_]\w*\$?|\bX{3,}\b|\?{2,}|_{4,}|\b(?:TODO|FIXME|TBD)\b|(?<!\w)%[sd]\b"
+)
 _WORDY = re.compile(r"[^\W_]{3}")
 _TAG = re.compile(TAGS, re.IGNORECASE)
 _SENTENCE = re.compile(r"(?<=[.!?:])\s+|\n+| - ")

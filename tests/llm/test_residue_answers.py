@@ -30,6 +30,17 @@ def test_error_messages_are_no_refusals(spark, model, text):
     assert A.defective_answers(spark.createDataFrame([(1, "s")], "text_id long, text string"), one, model, "text_id", "rid", "text").count() == 0
 
 
+@pytest.mark.parametrize("text", ["[inserire qui la descrizione completa della funzione come riportata nel capitolato tecnico]", "{{ valore\n soglia }}", "{{" + "valore " * 20 + "}}", "<<titolo\ndescrizione>>", "<inserire qui la descrizione completa della funzione come riportata nel capitolato>", "{% if " + "valore " * 12 + "%}", "@descrizione completa della funzione come riportata nel capitolato@"])
+def test_placeholders_of_any_length(model, text):
+    assert R.spans(f"a {text} b") == [text] and model.score([SOUND + " " + text + FRAME])[0] > 0.5
+
+
+def test_long_texts_without_closing_marks_are_read_in_one_pass():
+    for mark in ("{", "{%", "<a ", "‹", "[", "%(", "@a ", "#a ", "__a "):
+        R.spans(mark * 100_000)
+    assert R.spans("<V e la temperatura resta bassa e la pressione supera il valore che la soglia indica e >") == []
+
+
 def test_residue_tables(spark, model):
     assert R.scored(edge_texts(spark), model, "id", "text").count() == 9
     assert R.scored(empty_texts(spark), model, "id", "text").count() == 0
