@@ -148,8 +148,8 @@ def defects(section: str | None, answer: str | None) -> list[str]:
 def defective_answers(sections: DataFrame, answers: DataFrame, model: Residue, key: str, id_col: str, text_col: str) -> DataFrame:
     """``id`` and ``defects`` (all, in order) of each defective answer; sections and answers meet on ``key``.
 
-    A section goes to the workers only where the answer is long enough to repeat what counts of it, so the comparison
-    itself reads whole texts. Answers without a section are judged too. ``key`` is unique in ``sections``.
+    Every answer meets its whole section: no bound on lengths is safe, as page marks, spacing, signs and repeated words
+    of a section may be missing in its copy. Answers without a section are judged too. ``key`` is unique in ``sections``.
     """
     schema = pa.schema([("id", pa.int64()), ("defects", pa.list_(pa.string()))])
 
@@ -165,6 +165,5 @@ def defective_answers(sections: DataFrame, answers: DataFrame, model: Residue, k
     told = answers.select(F.col(id_col).cast("long").alias("id"), F.col(key).alias("k"), F.col(text_col).alias("answer")).where("id is not null")
     asked = sections.select(F.col(key).alias("k"), F.col(text_col).alias("section")).where("k is not null")
     joined = told.join(asked, "k", "left")
-    needed = F.length("answer") >= 0.6 * F.least(F.length("section"), F.lit(2500))
-    return joined.select("id", "answer", F.when(needed, F.col("section")).alias("section")).mapInArrow(run, "id long, defects array<string>")
+    return joined.select("id", "answer", "section").mapInArrow(run, "id long, defects array<string>")
 

@@ -88,3 +88,11 @@ def test_defective_answers(spark, model):
     assert found == {1: ["copied"], 2: ["truncated"], 3: ["empty"], 4: ["empty"], 6: ["copied"]}
     assert A.defective_answers(sections, answers.limit(0), model, "text_id", "rid", "text").count() == 0
     assert not np.isnan(model.score(["x"])).any()
+
+
+def test_short_copies_meet_their_section(spark, model):
+    texts = ["[Pagina 12]\nVedi cap. 3.", "La valvola apre il circuito. " * 8, "Il  freno" + " " * 200 + "resta chiuso."]
+    sections = spark.createDataFrame(list(enumerate(texts)), "text_id long, text string")
+    answers = spark.createDataFrame([(0, 0, "Vedi cap. 3."), (1, 1, "La valvola apre il circuito. La valvola apre il."), (2, 2, "Il freno resta chiuso.")], "rid long, text_id long, text string")
+    found = {r["id"]: r["defects"] for r in A.defective_answers(sections, answers, model, "text_id", "rid", "text").collect()}
+    assert all("copied" in found.get(i, []) for i in range(3))
