@@ -4,7 +4,7 @@
    once; each class gets a sketch that is cut into trees of ``LEVELS`` levels, one byte a level.
 2. A tree is a prefix trie over its labels: classes that share the first d bytes of a label are candidates at depth d.
    The search begins at full depth and shortens the matched prefix by one level at a time, until the recall reaches the
-   target. The recall is estimated from the verified pairs: a pair of similarity s is found at depth d with probability
+   target; without any pair it goes on to the least depth. The recall is estimated from the verified pairs: a pair of similarity s is found at depth d with probability
    1-(1-s^d)^trees, so each found pair stands for the reciprocal of that.
 3. Candidates are verified exactly on the sets of word shingles of both texts.
 4. Pairs of classes are expanded to pairs of rows.
@@ -188,7 +188,7 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, o: Settings) -> S
             pairs = pairs.unionByName(x)
         n, likely = pairs.agg(F.count(F.lit(1)), F.sum(1 / chance)).first()
         recall = n / likely if n else 1.0
-        if depth <= o.least_depth or recall >= o.target_recall:
+        if depth <= o.least_depth or n and recall >= o.target_recall:  # no pair tells nothing of the recall
             return Similar(copies, pairs, depth, recall)
         before, depth = depth, depth - 1
 

@@ -69,3 +69,9 @@ def test_edges(spark):
     assert found == {(5, 6)}
     assert N.near_duplicate_pairs(empty_texts(spark), "id", "text", o).count() == 0
     assert N.near_duplicate_groups(empty_texts(spark), "id", "text", o).count() == 0
+
+
+def test_without_pairs_the_search_goes_on(spark):
+    df = spark.createDataFrame([(1, "uno due tre quattro cinque sei sette"), (2, "alfa beta gamma delta epsilon zeta eta")], "id long, text string")
+    o = N.Settings(shingle_words=3, similarity=0.5)
+    assert N.similar_classes(df, "id", "text", o).depth == o.least_depth
