@@ -110,6 +110,13 @@ def _tf(items: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return keys & np.uint64((1 << 44) - 1), (keys >> np.uint64(44)).astype(np.int64), 1 + np.log(times)
 
 
+def _counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct terms of each text, the text's number and the weight of the term's frequency, of any number of texts."""
+    most = 1 << 20
+    parts = [(*_tf(*terms(texts[k : k + most])), k) for k in range(0, max(len(texts), 1), most)]
+    return np.concatenate([x for x, *_ in parts]), np.concatenate([o + k for _, o, _, k in parts]), np.concatenate([w for *_, w, _ in parts])
+
+
 @dataclass
 class Index:
     """Examples as an inverted index in blocks."""
@@ -128,7 +135,7 @@ class Index:
 
     def known_terms(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Terms of the texts, their owners and frequencies, where they would be in ``known``, and if they are there."""
-        items, owner, tf = _tf(*terms(texts))
+        items, owner, tf = _counted(texts)
         at = np.minimum(np.searchsorted(self.known, items), max(len(self.known) - 1, 0))
         hit = self.known[at] == items if len(self.known) else np.zeros(len(items), bool)
         return items, owner, tf, at, hit
@@ -204,7 +211,7 @@ def build_index(texts: list[str], labels: list[int], frequency: dict[int, int],
     """The index of examples; ``frequency`` counts, by term hash, the passages of the corpus that have it, of ``n``."""
     pairs = sorted({(t, y) for t, y in zip(texts, labels, strict=True)}, key=lambda x: (-x[1], x[0]))
     texts, y = [t for t, _ in pairs], np.array([v for _, v in pairs], np.int64)
-    items, owner, tf = _tf(*terms(texts))
+    items, owner, tf = _counted(texts)
     known = np.unique(items)
     idf = np.log((n + 1) / (np.array([frequency.get(int(h.view(np.int64)), 0) for h in known], float) + 1)) + 1 if len(known) else np.zeros(0)
     at = np.searchsorted(known, items)
@@ -240,7 +247,7 @@ def _corpus_counts(df: DataFrame, text_col: str) -> DataFrame:
             for k in range(0, whole.num_rows, 500):
                 own = [p for t in whole.column(0).slice(k, 500).to_pylist() if t for p in passages(t)]
                 passed += len(own)
-                items, _, _ = _tf(*terms(own))
+                items, _, _ = _counted(own)
                 held.append(np.unique(items, return_counts=True))
                 size += len(held[-1][0])
                 if size > HELD:

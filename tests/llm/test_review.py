@@ -78,3 +78,8 @@ def test_counts_are_handed_on_in_parts(spark, monkeypatch):
     whole = {tuple(r) for r in V._corpus_counts(df, "text").collect()}
     monkeypatch.setattr(V, "HELD", 1000)
     assert {tuple(r) for r in V._corpus_counts(df, "text").collect()} == whole
+
+
+def test_more_passages_than_a_packed_number_holds(index):
+    score, _ = index.score(["xyz"] * (1 << 20) + ["you are a moron"])
+    assert score[-1] > 0.5 and not score[:-1].any()
