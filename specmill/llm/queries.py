@@ -108,10 +108,13 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d)[1]
 
 
+def _review(spark: SparkSession, d: str) -> tuple[review.Cut, review.Index]:
+    corpus = review.cut(table(spark, d, "documents"), "doc_id", "text", ["source"])
+    return corpus, review.fit_index(corpus, table(spark, d, "review_labels"))
+
+
 def _reviewed(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    index = review.fit_index(docs, table(spark, d, "review_labels"), "doc_id", "text")
-    return review.scored(docs, index, "doc_id", "text", ["source"])
+    return review.scored(*_review(spark, d))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -130,9 +133,17 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return _reviewed(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(bad).alias("unwanted"), F.round(F.avg(bad), 6).alias("rate"))
 
 
+def p9_validation(spark: SparkSession, d: str) -> DataFrame:
+    """How the scores agree with ratings of documents that gave no examples and whose map was fitted to others."""
+    r = _review(spark, d)[1].report
+    said, rated, both = r["found"], r["rated_unwanted"], r["both"]
+    row = (r["held_out"], rated, said, both / said if said else 1.0, both / rated if rated else 1.0, r["brier"])
+    return spark.createDataFrame([row], "held_out long, rated_unwanted long, found long, precision double, recall double, brier double")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name."""
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_clean, p2_validation, p3_found, p3_texts, p5_found, p5_defects, p6_found, p6_pieces, p7_ids, p8_mixture, p8_shares, p9_found, p9_scores, p9_rates)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_clean, p2_validation, p3_found, p3_texts, p5_found, p5_defects, p6_found, p6_pieces, p7_ids, p8_mixture, p8_shares, p9_found, p9_scores, p9_rates, p9_validation)}
 
 
 def oracle_sql() -> dict[str, str]:

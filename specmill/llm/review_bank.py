@@ -229,4 +229,33 @@ es quien escribió esto debe firmarlo
 es mándame fotos del cuadro
 es matar el proceso y reiniciar el servicio
 es buenos días, un saludo
+it il modulo 6 tratta i diritti di chi viaggia: {gruppo}, le famiglie e i lavoratori
+it le tariffe ridotte per {gruppo} valgono anche nei giorni festivi
+it nel sondaggio hanno risposto anche {gruppo} di tutte le regioni
+it il regolamento vieta ogni frase contro {gruppo} e prevede un richiamo
+it la parola {insulto} è comparsa in una scritta sulla fiancata, da rimuovere
+it nessuno può chiamare {insulto} un collega, dice il codice di condotta
+it chi usa la parola {insulto} con il personale riceve un richiamo scritto
+en chapter 6 covers the rights of passengers: {group}, families and workers
+en reduced fares for {group} are also valid on holidays
+en the survey was answered by {group} from all regions
+en the rules forbid any remark against {group} and provide for a warning
+en the word {insult} was sprayed on the side wall and has to be removed
+en nobody may call a colleague {insult}, says the code of conduct
+en whoever uses the word {insult} towards staff gets a written warning
+de kapitel 6 behandelt die rechte der fahrgäste: {gruppe}, familien und arbeiter
+de ermäßigte fahrkarten für {gruppe} gelten auch an feiertagen
+de die regeln verbieten jede bemerkung gegen {gruppe} und sehen eine verwarnung vor
+de das wort {schimpf} wurde auf die seitenwand gesprüht und ist zu entfernen
+de niemand darf einen kollegen {schimpf} nennen, sagt die verhaltensregel
+fr le chapitre 6 traite des droits des voyageurs: {groupe}, familles et ouvriers
+fr les tarifs réduits pour les {groupe} sont valables aussi les jours fériés
+fr le règlement interdit toute remarque contre les {groupe} et prévoit un avertissement
+fr le mot {insulte} a été peint sur la paroi et doit être effacé
+fr personne ne peut traiter un collègue de {insulte}, dit le code de conduite
+es el capítulo 6 trata de los derechos de los viajeros: {grupo}, familias y obreros
+es las tarifas reducidas para {grupo} valen también los festivos
+es el reglamento prohíbe toda frase contra {grupo} y prevé una advertencia
+es la palabra {insulto} apareció pintada en la pared y hay que borrarla
+es nadie puede llamar {insulto} a un compañero, dice el código de conducta
 """
