@@ -2,7 +2,8 @@
 
 Look-alike edges between strings and code points are joined by union-find into transitive classes; each class is
 represented by the member that occurs most often in the whole corpus; texts are rewritten greedily (leftmost, longest)
-with a multi-pattern automaton.
+with a multi-pattern automaton, until they come to rest. Before each pass letters with combining marks are brought to
+the composed form in canonical order, so that canonically equivalent spellings end alike.
 
 Defined results: null stays null, empty stays empty; a word of another script that holds a letter without a Latin
 look-alike and no Latin letter keeps its letters; case, digits, superscripts, accents and punctuation never change.
@@ -118,6 +119,27 @@ def _foreign(c: str) -> bool:
     return unicodedata.name(c, "").startswith(("CYRILLIC", "GREEK"))
 
 
+@lru_cache(1)
+def _marks() -> tuple[re.Pattern, re.Pattern]:
+    """Runs of combining marks and of letters that compose with the next (jamo): of the first plane alone, and of all."""
+    first = "".join(re.escape(chr(x)) for x in range(0x300, 0x10000) if unicodedata.combining(chr(x))) + "\u1161-\u1175\u11a8-\u11c2"
+    beyond = "".join(chr(x) for x in range(0x10000, 0x20000) if unicodedata.combining(chr(x)))
+    return re.compile(f"[{first}]+"), re.compile(f"[{first}{beyond}]+")  # only a class of one plane is a table lookup
+
+
+def canonical(text: str) -> str:
+    """``text`` with each letter and its combining marks composed, in canonical order; all else stays."""
+    parts, at = [], 0
+    for m in _marks()[bool(_BEYOND.search(text))].finditer(text):
+        low = max(m.start() - 1, at)
+        parts += (text[at:low], unicodedata.normalize("NFC", text[low : m.end()]))
+        at = m.end()
+    return "".join((*parts, text[at:])) if at else text
+
+
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+
+
 class Rewriter:
     """Rewrites texts to representatives. Built once per worker."""
 
@@ -131,11 +153,11 @@ class Rewriter:
         self.automaton.make_automaton()
         heads = {a[0] for a in rest if len(a) == 1} | {c for a in rest if len(a) > 1 for c in a[1:]}
         heads |= set(self.letters)
+        heads |= {chr(x) for x in range(0x300, 0x10000) if unicodedata.combining(chr(x))} | {chr(x) for x in range(0x1161, 0x1176)}
         one_plane = "".join(re.escape(c) for c in sorted(heads) if c <= "\uffff")  # only such a class is a table lookup
         self.any = re.compile(f"[{one_plane}]" if one_plane else "(?!)")
         self.stretch = re.compile(rf"[\s\S]?[{one_plane}\U00010000-\U0010ffff]+")  # no match of the automaton reaches beyond one
         self.known: dict[str, str] = {}
-        self.beyond = re.compile("[\U00010000-\U0010ffff]")
         self.foreign = re.compile("[Ͱ-ϿЀ-ԯ]")
         self.ascii_free = all(not a.isascii() for a in mapping)
 
@@ -159,16 +181,15 @@ class Rewriter:
         return "".join((*parts, text[at:]))
 
     def __call__(self, text: str | None) -> str | None:
-        if not text or (self.ascii_free and text.isascii()) or not (self.any.search(text) or self.beyond.search(text)):
+        if not text or (self.ascii_free and text.isascii()) or not (self.any.search(text) or _BEYOND.search(text)):
             return text
-        for _ in range(3):  # a rewritten letter may complete a longer pattern
-            out = self.stretch.sub(self._stretch, text)
-            if self.foreign.search(out):
-                out = self._words(out)
-            if out == text:
-                break
-            text = out
-        return text
+        seen: list[str] = []
+        while text not in seen:  # a rewritten letter may complete a longer pattern
+            seen.append(text)
+            text = self.stretch.sub(self._stretch, canonical(text))
+            if self.foreign.search(text):
+                text = self._words(text)
+        return min(seen[seen.index(text) :])  # the text at rest, or, should a few follow each other for ever, the least of these
 
     def _stretch(self, m: re.Match) -> str:
         """Rewrites a stretch greedily; short ones recur, so their results are kept."""

@@ -1,3 +1,6 @@
+import random
+import unicodedata
+
 from specmill.llm import lookalikes as L
 from tests.llm.tables import edge_texts, empty_texts
 
@@ -38,3 +41,14 @@ def test_pairs(spark):
     assert {(r["a"], r["b"]) for r in L.same_look_pairs(df, "id", "text").collect()} == {(1, 2), (2, 3), (1, 4), (2, 4), (3, 4)}
     assert L.same_look_pairs(empty_texts(spark), "id", "text").count() == 0
     assert L.same_look_pairs(edge_texts(spark), "id", "text").count() == 0
+
+
+def test_canonically_equivalent_spellings_end_alike():
+    r, rewrite = random.Random(2), L.default_rewriter()
+    letters = "aeiounAEIOcs" + "".join(map(chr, range(0xC0, 0x250))) + "".join(map(chr, range(0x1E00, 0x1F00))) + "\uac00\ud55c"
+    marks = "".join(map(chr, range(0x300, 0x345))) + "\u0359\u035e\U0001e947"
+    for _ in range(20_000):
+        w = "".join(r.choice(letters) + "".join(r.choices(marks, k=r.choice((0, 0, 1, 2, 3)))) for _ in range(r.randint(1, 3)))
+        forms = {rewrite(w), rewrite(unicodedata.normalize("NFC", w)), rewrite(unicodedata.normalize("NFD", w))}
+        assert len(forms) == 1 and rewrite(forms.pop()) == rewrite(w)
+    assert rewrite("\u1ea1\u0301") == rewrite("\u00e1\u0323")
