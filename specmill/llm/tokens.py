@@ -4,7 +4,11 @@ The merges are compiled, in their order, into a deterministic automaton over tok
 for each byte. Merge (u, v) puts in a gadget: the state that u leads to is copied without its arc v, u leads to the
 copy from now on, and each state that has arc u gets an arc uv to where v led. What the automaton then accepts is of
 each byte string exactly the one token sequence that the merges make. As an arc's target depends on its label alone, a
-state is stored as its parent and the arc it lacks, and a row of the transition table is filled in when it's first used.
+state is stored as its parent and the arc it lacks, and whether it has an arc is worked out when that is first asked.
+
+Bytes are read by a forward table: its states are sets of pairs of a state of the automaton and a node of the trie of
+labels, so that a step by one byte follows all arcs whose labels go on with it, and emits the token whose arc ends there,
+of which there is at most one. Rows are filled in when first used, after that a word costs one lookup a byte.
 
 Texts are split into words first; each distinct word is encoded once per worker. Decoding emits the labels of the arcs.
 
@@ -28,6 +32,8 @@ TOKENIZERS = os.environ.get("SPECMILL_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = "byte_bpe_50k.json"
 #: Words, and table entries, kept per worker; beyond, they are dropped and made anew.
 KEPT = 400_000
+#: States of the forward table kept per worker; beyond, the table is begun anew.
+STATES = 60_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -52,7 +58,6 @@ class Automaton:
         for s, i in ids.items():
             if all(c in letters for c in s):
                 self.labels[i] = as_bytes(s)
-        self.arc = {x: i for i, x in enumerate(self.labels) if x}
         n = len(self.labels)
         #: Of each token the merge that makes it (-1 of a byte), its parts, and the state it leads to.
         self.made, self.left, self.right, self.leads = [-1] * n, [0] * n, [0] * n, [0] * n
@@ -62,8 +67,47 @@ class Automaton:
         for k, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self._gadget(k, ids[a], ids[b], ids[a + b])
-        self.longest = max(map(len, self.arc))
+        #: The trie of labels: children by node and byte, and the token that ends at a node.
+        self.child: dict[int, int] = {}
+        self.ends: list[int] = [-1]
+        for i, label in enumerate(self.labels):
+            node = 0
+            for byte in label:
+                key = node << 8 | byte
+                if (found := self.child.get(key)) is None:
+                    found = self.child[key] = len(self.ends)
+                    self.ends.append(-1)
+                node = found
+            if label:
+                self.ends[node] = i
+        self.inner = {key >> 8 for key in self.child}
         self.words: dict[str, list[int]] = {}
+        self._begin()
+
+    def _begin(self) -> None:
+        """Empties the forward table but for its first state, the start of a word."""
+        self.sets: list[tuple[tuple[int, int], ...]] = [((0, 0),)]
+        self.number = {self.sets[0]: 0}
+        self.rows: list[dict[int, tuple[int, int]]] = [{}]
+
+    def _step(self, at: int, byte: int) -> tuple[int, int]:
+        """Fills in one entry of the forward table: the next state and the token whose arc ends with this byte (-1: none)."""
+        token, after = -1, []
+        for state, node in self.sets[at]:
+            if (to := self.child.get(node << 8 | byte)) is not None:
+                if to in self.inner:
+                    after.append((state, to))
+                if (ends := self.ends[to]) >= 0 and self.has(state, ends):
+                    token = ends
+        if token >= 0:
+            after.append((self.leads[token], 0))
+        key = tuple(after)
+        if (to := self.number.get(key)) is None:
+            to = self.number[key] = len(self.sets)
+            self.sets.append(key)
+            self.rows.append({})
+        self.rows[at][byte] = to, token
+        return to, token
 
     def _gadget(self, k: int, u: int, v: int, w: int) -> None:
         state = self.leads[u]
@@ -98,22 +142,16 @@ class Automaton:
     def word(self, text: str) -> list[int]:
         """The path of a word: of each prefix the one token that its path ends with."""
         data = text.encode("utf-8", "surrogatepass")
-        if (whole := self.arc.get(data)) is not None and self.has(0, whole):
-            return [whole]
-        n = len(data)
-        last, state = [-1] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = self.arc.get(data[start:end])
-                if token is not None and last[start] != -2 and self.has(state[start], token):
-                    last[end], state[end] = token, self.leads[token]
-                    break
-            else:
-                last[end] = -2
-        out, end = [], n
+        if len(self.sets) > STATES:
+            self._begin()
+        at, rows, last = 0, self.rows, []
+        for byte in data:
+            at, token = rows[at].get(byte) or self._step(at, byte)
+            last.append(token)
+        out, end = [], len(data)
         while end:
-            out.append(last[end])
-            end -= len(self.labels[last[end]])
+            out.append(last[end - 1])
+            end -= len(self.labels[out[-1]])
         return out[::-1]
 
     def encode(self, text: str | None) -> list[int]:
