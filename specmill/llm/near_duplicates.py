@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specmill.llm.lookalikes import default_rewriter
+from specmill.llm.sampling import bounded_sample
 from specmill.llm.shingles import shingle_hashes, sketch, word_hashes
 from specmill.operators.components import connected_components
 from specmill.session import materialize
@@ -45,7 +46,7 @@ class Settings:
     trees: int = 42
     least_depth: int = 2
     target_recall: float = 0.99
-    #: Texts of which the codec's dictionary is trained; the codec is lossless, so that no result depends on it.
+    #: Texts (of at most 20,000 characters) of which the codec's dictionary is trained; it is lossless, so no result depends on it.
     codec_sample: int = 2000
 
 
@@ -72,9 +73,9 @@ def _form(text: str) -> str:
     return default_rewriter()(text).lower()
 
 
-def _codec(df: DataFrame, text_col: str, size: int) -> _Codec:
-    rows = df.where(F.length(text_col) > 0).select(F.substring(text_col, 1, 20_000).alias("t")).limit(size).collect()
-    return _Codec([_form(r["t"]).encode("utf-8", "replace") for r in rows])
+def _codec(df: DataFrame, id_col: str, text_col: str, size: int) -> _Codec:
+    rows = df.where(F.length(text_col).between(1, 20_000)).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    return _Codec([_form(r["t"]).encode("utf-8", "replace") for r in bounded_sample(rows, "i", size).collect()])
 
 
 def _sketches(df: DataFrame, id_col: str, text_col: str, o: Settings, codec: _Codec) -> DataFrame:
@@ -172,7 +173,7 @@ class Similar:
 
 def similar_classes(df: DataFrame, id_col: str, text_col: str, o: Settings) -> Similar:
     """Verified pairs between representatives of copies, and the membership of all rows in classes of copies."""
-    codec = _codec(df, text_col, o.codec_sample)
+    codec = _codec(df, id_col, text_col, o.codec_sample)
     table = materialize(_sketches(df, id_col, text_col, o, codec), "sketches")
     reps = table.groupBy("cls").agg(F.min("id").alias("rep"))
     copies = materialize(table.select("id", "cls").join(reps, "cls").select("id", "rep"), "members")
