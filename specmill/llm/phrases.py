@@ -43,11 +43,16 @@ ERRORS = re.compile(
 SORRY = re.compile(r"^\W*(?:mi dispiace|mi spiace|purtroppo|chiedo scusa|spiacente|siamo spiacenti|grazie per la richiesta|(?:i'm|i’m|i am|we are) sorry|sorry|unfortunately|i apologi[sz]e|thank you for|es tut mir leid|tut mir leid|leider|entschuldigung|bedaure|désolée?|je suis désolée?|malheureusement|lo siento|lo lamento|desafortunadamente|lamentablemente|por desgracia)")
 
 
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+
+
 def is_refusal(text: str) -> bool:
-    """True where the first 200 characters decline the task, as refusals do at once; error messages decline nothing."""
-    head = text.strip().lower()
-    if ERRORS.search(head):
+    """True where a sentence, wherever it stands, begins by declining the task; error messages decline nothing."""
+    low = text.strip().lower()
+    if not REFUSAL.search(low) or ERRORS.search(low):
         return False
-    words = len(head.split())
-    m = REFUSAL.search(head[:200])
-    return bool(m) and (m.start() < 60 or bool(SORRY.search(head))) and words < 80
+    for sentence in _SENTENCE.split(low):
+        m = REFUSAL.search(sentence)
+        if m and (m.start() < 60 or SORRY.search(sentence)):
+            return True
+    return False

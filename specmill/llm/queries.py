@@ -55,10 +55,11 @@ def p2_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_validation(spark: SparkSession, d: str) -> DataFrame:
-    """Quality of the classifier on the weak labels of hosts unseen in training."""
-    r = _residue(spark, d, True)[1].body.report
-    row = (r.get("held_out_rows", 0), r.get("positives", 0), r.get("precision"), r.get("recall"))
-    return spark.createDataFrame([row], "held_out_rows long, positives long, precision_at_half double, recall_at_half double")
+    """Quality of both classifiers on the weak labels of hosts unseen in training."""
+    model = _residue(spark, d, True)[1]
+    names = ("held_out_rows", "positives", "precision", "recall")
+    rows = [(part, *(r.get(k, 0 if k in names[:2] else None) for k in names)) for part, r in (("text", model.body.report), ("span", model.span.report))]
+    return spark.createDataFrame(rows, "part string, held_out_rows long, positives long, precision_at_half double, recall_at_half double")
 
 
 def _defects(spark: SparkSession, d: str) -> DataFrame:

@@ -4,6 +4,10 @@ Recursive bisection: a stretch that exceeds the limit less the overlap is cut at
 and each half likewise; the overlaps are attached afterwards. Characters are code points; white space is space, tab and
 newline.
 
+The kind that is reported of a cut text (``cut_kind``) is a property of its boundaries, defined apart from the bisection:
+the first kind at which cutting at all boundaries, of it and the stronger ones, leaves only pieces within the room. The
+bisection itself takes the strongest boundary near each middle, so its cuts may be of a stronger or a weaker kind.
+
 Defined results: null texts give no piece; empty and white-space texts one piece as they are; a stretch without any
 white space is cut in its middle.
 """

@@ -4,6 +4,7 @@ import pytest
 from specmill.llm import answers as A
 from specmill.llm import residue as R
 from specmill.llm.frames import is_status, split_cell
+from specmill.llm.phrases import is_refusal
 from tests.llm.tables import edge_texts, empty_texts
 
 FRAME = "\n\nANALISI FUNZIONALE:\n  • Diagnostica: IDENTICAL\nScore equivalenza funzionale: 80/100\nPag. di riferimento: pag.3."
@@ -96,3 +97,20 @@ def test_short_copies_meet_their_section(spark, model):
     answers = spark.createDataFrame([(0, 0, "Vedi cap. 3."), (1, 1, "La valvola apre il circuito. La valvola apre il."), (2, 2, "Il freno resta chiuso.")], "rid long, text_id long, text string")
     found = {r["id"]: r["defects"] for r in A.defective_answers(sections, answers, model, "text_id", "rid", "text").collect()}
     assert all("copied" in found.get(i, []) for i in range(3))
+
+
+def test_refusals_are_found_anywhere():
+    sound = "La funzione chiude il contattore e registra l'evento in memoria. " * 15
+    assert is_refusal(sound + "Purtroppo non posso riassumere il resto del documento.")
+    assert is_refusal(sound + "\nI cannot summarise this content.") and not is_refusal(sound)
+    assert not is_refusal("Errore 500: impossibile elaborare. Non posso proseguire.")
+
+
+def test_spans_learn_from_weak_labels(spark):
+    """The corpus' own notation, which no seed has, is learned; codes, sets and references stay sound."""
+    rows = [(i, f"La funzione apre la porta. {x}", f"C{i % 9}") for i, x in enumerate((["[[inserire qui zona_{}]]", "[ABC-DEF-12{}]", "{{AAA, BBB{}}}", "La porta {} apre."] * 60))]
+    rows = [(i, t.replace("{}", str(i % 7)), c) for i, t, c in rows]
+    model = R.train(spark.createDataFrame(rows, "id long, text string, config string"), "id", "text", "config", True)
+    assert model.span.report["held_out_rows"] > 0 and model.span.report["precision"] == 1.0
+    bad, good = model.score(["La porta apre. [inserire qui zona]", "Apre. {{zona}}"]), model.score(["Apre come in [REQ-QQQ-77].", "Gli stati sono {XX, YY, ZZ}.", "[Pagina 3]\nApre."])
+    assert (bad > 0.5).all() and (good < 0.5).all()
