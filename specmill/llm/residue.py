@@ -110,6 +110,21 @@ The section describes how the battery charger refuses commands.
 Der Abschnitt beschreibt, wie das Ladegerät die Anforderung hält.
 La función abre el contactor y guarda el código.
 La fonction bloque la traction et mémorise le code.
+La porta si apre.
+Il freno resta chiuso fino al consenso.
+Apre la valvola.
+Gli stati sono quattro.
+Stato: chiuso.
+Nessuna differenza tra le configurazioni.
+La logica è la stessa in tutte le configurazioni.
+Il tempo di attesa vale cinque secondi.
+The door opens.
+The brake stays closed.
+No difference between the configurations.
+Die Tür öffnet.
+Der Zustand bleibt gleich.
+La porte s'ouvre.
+La puerta se abre.
 Il requisito [REQ-ABC-12] è obbligatorio, il valore <= 2 no.
 """
 

@@ -108,8 +108,8 @@ def test_refusals_are_found_anywhere():
 
 def test_spans_learn_from_weak_labels(spark):
     """The corpus' own notation, which no seed has, is learned; codes, sets and references stay sound."""
-    rows = [(i, f"La funzione apre la porta. {x}", f"C{i % 9}") for i, x in enumerate((["[[inserire qui zona_{}]]", "[ABC-DEF-12{}]", "{{AAA, BBB{}}}", "La porta {} apre."] * 60))]
-    rows = [(i, t.replace("{}", str(i % 7)), c) for i, t, c in rows]
+    rows = [(i, f"La funzione apre la porta. {x}", f"C{i % 9}") for i, x in enumerate((["[[inserire qui zona_~]]", "[ABC-DEF-12~]", "{AAA, BBB~}", "La porta ~ apre."] * 60))]
+    rows = [(i, t.replace("~", str(i % 7)), c) for i, t, c in rows]
     model = R.train(spark.createDataFrame(rows, "id long, text string, config string"), "id", "text", "config", True)
     assert model.span.report["held_out_rows"] > 0 and model.span.report["precision"] == 1.0
     bad, good = model.score(["La porta apre. [inserire qui zona]", "Apre. {{zona}}"]), model.score(["Apre come in [REQ-QQQ-77].", "Gli stati sono {XX, YY, ZZ}.", "[Pagina 3]\nApre."])
