@@ -1,16 +1,25 @@
 """Quantities recorded in different units and scales, converted to common units (problem 4).
 
-A list of items becomes one row per quantity. Units are read behind the number, in brackets, or after "in". Where an
-item has none, its unit is inferred: per kind of quantity a mixture over the logarithm of the values, whose components
-are the known distribution shifted by the known conversion factors, is fitted by expectation maximization; the item
-gets the unit of highest posterior and a flag where that is uncertain.
-
-Defined results: null, empty and non-numeric items give no row; a unit nobody knows gives a row without value, flagged.
+A list of items becomes one row per quantity. Units are read behind the number, in brackets, or after "in". Numbers that
+follow each other in one item are one quantity only where their units, of one kind, descend ("1 min 30 s"); the ends of a
+range ("5-10 s", "da 5 a 10 s") and other quantities of an item ("24 V / 3 A") are quantities of their own, and the first
+end of a range takes the unit of the second where it has none.
+
+Where a number has no unit, it is inferred: per kind of quantity a mixture over the logarithm of the values, whose
+components are the known distribution shifted by the known conversion factors, is fitted by expectation maximization,
+with a prior from the frequencies of the known units; the number gets the unit of highest posterior, and a flag where
+that is uncertain or few known values support the fit.
+
+Defined results: null, empty and non-numeric items give no row; a number whose unit nobody knows gives a row without
+value, flagged.
 """
 
 from __future__ import annotations
 
+import json
 import math
+from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -98,8 +107,14 @@ NUMBER = r"[-+−]?\d+(?: \d{3}(?!\d))*(?:[.,]\d+)?"
 SEPARATOR = r"\s*[;|]\s*|,\s+"
 #: Width of the histogram bins over log10 of the value.
 BIN = 0.02
-#: Below this posterior an inferred unit is flagged.
+#: Below this posterior, or with fewer known values of its kind, an inferred unit is flagged.
 CERTAIN = 0.9
+SUPPORT = 30
+#: Weight of the prior in a fit, in values.
+PRIOR = 20.0
+
+# Signs and words between the ends of a range, or before a second value.
+RANGE = r"(?:[-–—÷~]|\.\.+|…|(?:^|\s)(?:a|to|bis|à|hasta|fino a|up to|e|ed|and|und|et|y|o|or|oder|ou))\s*$"
 
 
 def unit_table() -> dict[str, tuple[str, str, float, float]]:
@@ -126,11 +141,19 @@ def kind_names() -> dict[str, str]:
     return {w: line.split(":")[0] for line in NAMES.strip().splitlines() for w in line.split(":")[1].split()}
 
 
+@lru_cache(1)
+def _unit_json() -> str:
+    return json.dumps({x: {"kind": k, "code": c, "factor": f, "shift": o} for x, (k, c, f, o) in unit_table().items()})
+
+
 def _lookup(key: Column) -> Column:
-    entries = []
-    for x, (kind, code, factor, offset) in unit_table().items():
-        entries += [F.lit(x), F.struct(F.lit(kind).alias("kind"), F.lit(code).alias("code"), F.lit(factor).alias("factor"), F.lit(offset).alias("shift"))]
-    return F.try_element_at(F.create_map(*entries), key)
+    table = F.from_json(F.lit(_unit_json()), "map<string,struct<kind:string,code:string,factor:double,shift:double>>")  # folded into a constant when planned
+    return F.try_element_at(table, key)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _unit_key(c: Column) -> Column:
@@ -148,44 +171,71 @@ def _items(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     rows = rows.select(*keys, "field_name", F.posexplode(F.split("list", SEPARATOR)).alias("item_no", "item")).where(F.col("item").rlike(r"\d"))
     rows = rows.withColumn("item", F.trim(F.regexp_replace("item", r"(?U)\s+", " ")))
     behind = F.regexp_extract_all("item", F.lit(rf"(?:(?<![\p{{L}}\d_])|(?<=\d ?\p{{L}}{{1,12}}))({NUMBER})\s*([^\d\[\]()=:]*)"), F.lit(0))
-    part = lambda m: F.struct(_number(F.regexp_extract(m, NUMBER, 0)).alias("x"), _unit_key(F.regexp_replace(m, NUMBER, "")).alias("key"))
+
+    def part(m: Column, i: Column) -> Column:
+        text, last = F.regexp_replace(m, rf"^{NUMBER}\s*", ""), i == F.size(behind) - 1
+        return F.struct(_number(F.regexp_extract(m, NUMBER, 0)).alias("x"), (~last & text.rlike(RANGE)).alias("open"), F.when(last, text).otherwise(F.regexp_replace(text, RANGE, "")).alias("text"))
+
     ahead = F.regexp_extract("item", r"(?:\[([^\]]*)\]|\(([^)]*)\)|(?i)\bin\s+([^\d:=]+?))\s*(?:<=|>=|[:=≤≥<>])*\s*" + f"(?:{NUMBER})", 0)
     ahead = F.regexp_replace(F.regexp_replace(ahead, rf"\s*(?:<=|>=|[:=≤≥<>])*\s*{NUMBER}$", ""), r"^(?i)in\s+", "")
     label = F.lower(F.regexp_extract("item", r"^([^\d\[(≤≥<>=:]*)", 1))
     return rows.select(*keys, "field_name", "item_no", "item", F.transform(behind, part).alias("parts"), _unit_key(ahead).alias("ahead"), label.alias("label"))
 
 
+def _unit_of(text: Column) -> Column:
+    """The unit that a text behind a number begins with: as a whole, by its first two words, or by its first."""
+    word = lambda t, n: _unit_key(F.substring_index(F.trim(t), " ", n))
+    return F.coalesce(_lookup(_unit_key(text)), F.when(F.instr(F.trim(text), " ") > 0, F.coalesce(_lookup(word(text, 2)), _lookup(word(text, 1)))))
+
+
 def parse_quantities(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """One row per quantity: ``keys``, ``field_name``, ``item_no``, ``item``, ``kind``, ``unit``, ``value`` in the common unit, ``raw``.
+    """One row per quantity: ``keys``, ``field_name``, ``item_no``, ``quantity_no``, ``item``, ``kind``, ``unit``, ``value`` in the common unit, ``raw``, ``named``.
 
-    ``unit`` is null where the item names none that is known; ``unit`` of a compound ("1 min 30 s") is its codes joined by "+".
+    ``unit`` is null where the item names none that is known, ``named`` tells if it names any; ``unit`` of a compound
+    ("1 min 30 s") is its codes joined by "+".
     """
-    rows = _items(df, keys, fields)
-    known = F.transform("parts", lambda p: F.struct(p["x"].alias("x"), _lookup(p["key"]).alias("u")))
-    rows = rows.withColumn("known", F.filter(known, lambda p: p["u"].isNotNull())).withColumn("front", _lookup(F.col("ahead")))
-    first = F.try_element_at("known", F.lit(1))
-    compound = (F.size("known") > 1) & F.forall("known", lambda p: p["u"]["kind"] == F.element_at("known", 1)["u"]["kind"])
+    rows = _items(df, keys, fields).withColumn("front", _lookup(F.col("ahead")))
     convert = lambda x, u: x * u["factor"] + u["shift"]
-    total = F.aggregate("known", F.lit(0.0), lambda a, p: a + convert(p["x"], p["u"]))
-    codes = F.array_join(F.transform("known", lambda p: p["u"]["code"]), "+")
-    lone = F.try_element_at("parts", F.lit(-1))["x"]
+    quantity = lambda p, u: F.struct(u["kind"].alias("kind"), u["code"].alias("unit"), convert(p["x"], u).alias("value"), p["x"].alias("raw"), (p["named"] & u.isNull()).alias("strange"), u["factor"].alias("least"), p["open"].alias("open"))
+
+    def read(p: Column) -> Column:
+        return _let(_unit_key(p["text"]), lambda key: F.struct(p["x"].alias("x"), p["open"].alias("open"), F.when(key != "", _unit_of(p["text"])).alias("u"), (key != "").alias("named")))
+
+    def own(parts: Column) -> Column:
+        """The numbers with their units; without one they take that in front of all or, as the first end of a range, the second's."""
+        known = F.exists(parts, lambda p: p["u"].isNotNull())
+        given = lambda p, i: F.when(p["named"], p["u"]).when(~known, F.col("front")).when(p["open"], F.try_element_at(parts, i + 2)["u"])
+        return F.transform(parts, lambda p, i: _let(given(p, i), lambda u: quantity(p, u)))
+
+    def add(acc: Column, q: Column) -> Column:
+        return _let(F.element_at(acc, -1), lambda last: F.when(goes_on(last, q), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(both(last, q)))).otherwise(F.concat(acc, F.array(q))))
+
+    def goes_on(last: Column, q: Column) -> Column:
+        return F.coalesce((last["kind"] == q["kind"]) & ~last["open"] & (last["least"] > q["least"]) & (q["raw"] >= 0), F.lit(False))
+
+    def both(last: Column, q: Column) -> Column:
+        return F.struct(last["kind"].alias("kind"), F.concat(last["unit"], F.lit("+"), q["unit"]).alias("unit"), (last["value"] + q["value"]).alias("value"), last["raw"].alias("raw"), F.lit(False).alias("strange"), q["least"].alias("least"), q["open"].alias("open"))
+
+    def kept(found: Column) -> Column:
+        """Beside numbers with units, one without is part of the words ("fase 2: 5 s"); of several without, the last counts."""
+        some = F.filter(found, lambda q: q["unit"].isNotNull() | q["strange"])
+        return F.when(F.exists(found, lambda q: q["unit"].isNotNull()), some).otherwise(F.slice(found, -1, 1))
+
+    kinds = "array<struct<kind:string,unit:string,value:double,raw:double,strange:boolean,least:double,open:boolean>>"
+    joined = lambda qs: F.aggregate(F.slice(qs, 2, F.size(qs)), F.slice(qs, 1, 1).cast(kinds), add)
+    found = _let(F.transform("parts", read), lambda parts: _let(own(parts), lambda qs: F.when(F.size(qs) > 1, kept(joined(qs))).otherwise(qs.cast(kinds))))
     names = F.create_map(*(F.lit(x) for pair in kind_names().items() for x in pair))
     named = F.try_element_at(F.filter(F.transform(F.split("label", r"[^\p{L}]+"), lambda w: F.try_element_at(names, w)), lambda k: k.isNotNull()), F.lit(1))
-    in_front = F.col("front").isNotNull() & (F.size("known") == 0)
-    return rows.select(
-        *keys, "field_name", "item_no", "item",
-        F.when(in_front, F.col("front.kind")).otherwise(F.coalesce(first["u"]["kind"], named)).alias("kind"),
-        F.when(in_front, F.col("front.code")).when(compound, codes).otherwise(first["u"]["code"]).alias("unit"),
-        F.when(in_front, convert(lone, F.col("front"))).when(compound, total).otherwise(convert(first["x"], first["u"])).alias("value"),
-        F.coalesce(first["x"], lone).alias("raw"),
-    )
+    rows = rows.where(F.size("parts") > 0).select(*keys, "field_name", "item_no", "item", named.alias("label_kind"), F.posexplode(found).alias("quantity_no", "q"))
+    return rows.select(*keys, "field_name", "item_no", "quantity_no", "item", F.coalesce("q.kind", "label_kind").alias("kind"), "q.unit", "q.value", "q.raw", (F.col("q.unit").isNotNull() | F.col("q.strange")).alias("named"))
 
 
-def fit_units(known: dict[int, float], unknown: dict[int, float], offsets: dict[str, float], rounds: int = 50) -> dict[int, tuple[str, float]]:
+def fit_units(known: dict[int, float], unknown: dict[int, float], offsets: dict[str, float], used: dict[str, float] | None = None, rounds: int = 50) -> dict[int, tuple[str, float]]:
     """Unit and posterior per bin of log10 of a value without unit.
 
-    ``known`` and ``unknown`` count values by bin, the first in the common unit; ``offsets`` is log10 of each unit's factor.
-    The density of a component is the smoothed known histogram shifted by the unit's offset; the weights are fitted.
+    ``known`` and ``unknown`` count values by bin, the first in the common unit; ``offsets`` is log10 of each unit's
+    factor, ``used`` how often each unit is named. The density of a component is the smoothed known histogram shifted by
+    the unit's offset; the weights are fitted, with a Dirichlet prior from ``used`` that weighs ``PRIOR`` values.
     """
     if not unknown or not offsets:
         return {}
@@ -201,11 +251,13 @@ def fit_units(known: dict[int, float], unknown: dict[int, float], offsets: dict[
     bins = np.array(list(unknown))
     mass = np.array([unknown[b] for b in bins], float)
     at = np.clip(bins[:, None] + np.round(np.array([offsets[u] for u in names]) / BIN).astype(int) - low, 0, len(density) - 1)
-    like, weights = density[at], np.full(len(names), 1 / len(names))
+    prior = np.array([(used or {}).get(u, 0.0) for u in names]) + 0.5
+    prior /= prior.sum()
+    like, weights = density[at], prior
     for _ in range(rounds):
         post = like * weights
         post /= post.sum(axis=1, keepdims=True)
-        weights = (post * mass[:, None]).sum(axis=0) / mass.sum() + 1e-9
+        weights = ((post * mass[:, None]).sum(axis=0) + PRIOR * prior) / (mass.sum() + PRIOR)
     best = post.argmax(axis=1)
     return {int(b): (names[k], float(p[k])) for b, k, p in zip(bins, best, post, strict=True)}
 
@@ -213,34 +265,43 @@ def fit_units(known: dict[int, float], unknown: dict[int, float], offsets: dict[
 def common_quantities(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """Quantities in common units: as ``parse_quantities``, plus ``common_unit``, ``inferred``, ``posterior`` and ``uncertain``.
 
-    The fit works on histograms (kinds times bins, of all rows), so its size doesn't grow with the table.
+    The fit works on histograms (kinds times bins, and kinds times units, of all rows), so its size doesn't grow with the table.
     """
     rows = materialize(parse_quantities(df, keys, fields), "quantities")
     bin_of = lambda c: F.when(c != 0, F.floor(F.log10(F.abs(c)) / BIN)).cast("int")
-    rows = rows.withColumn("bin", F.when(F.col("unit").isNull(), bin_of(F.col("raw"))).otherwise(bin_of(F.col("value"))))
+    rows = rows.withColumn("bin", F.when(F.col("named"), bin_of(F.col("value"))).otherwise(bin_of(F.col("raw"))))
     counts: dict[tuple[str, bool], dict[int, float]] = {}
-    for r in rows.where("kind is not null and bin is not null").groupBy("kind", F.col("unit").isNull().alias("open"), "bin").count().collect():
-        counts.setdefault((r["kind"], r["open"]), {})[r["bin"]] = r["count"]
+    used: dict[str, dict[str, float]] = {}
+    known = rows.where("kind is not null and bin is not null").withColumn("unit", F.when(F.instr("unit", "+") == 0, F.col("unit")))
+    for r in known.groupBy("kind", "named", "bin", "unit").count().collect():
+        own = counts.setdefault((r["kind"], r["named"]), {})
+        own[r["bin"]] = own.get(r["bin"], 0) + r["count"]
+        if r["named"] and r["unit"]:
+            used.setdefault(r["kind"], {})[r["unit"]] = used.get(r["kind"], {}).get(r["unit"], 0) + r["count"]
     offsets: dict[str, dict[str, float]] = {}
     factors = {}
     for kind, code, factor, shift in set(unit_table().values()):
         factors[kind, code] = (factor, shift)
         if not shift:
             offsets.setdefault(kind, {})[code] = math.log10(factor)
-    fitted = [(k, b, u, p, *factors[k, u]) for k in offsets for b, (u, p) in fit_units(counts.get((k, False), {}), counts.get((k, True), {}), offsets[k]).items()]
+    fitted = []
+    for k in offsets:
+        support = sum(counts.get((k, True), {}).values())
+        for b, (u, p) in fit_units(counts.get((k, True), {}), counts.get((k, False), {}), offsets[k], used.get(k)).items():
+            fitted.append((k, b, u, p, *factors[k, u], support >= SUPPORT))
     spark = df.sparkSession
-    fits = spark.createDataFrame(fitted, "kind string, bin int, fit_unit string, posterior double, factor double, shift double")
+    fits = spark.createDataFrame(fitted, "kind string, bin int, fit_unit string, posterior double, factor double, shift double, supported boolean")
     rows = rows.join(F.broadcast(fits), ["kind", "bin"], "left")  # at most kinds times bins rows
-    guess = F.col("unit").isNull() & F.col("fit_unit").isNotNull()
+    guess = ~F.col("named") & F.col("fit_unit").isNotNull()
     commons = F.create_map(*(F.lit(x) for pair in common_units().items() for x in pair))
     return rows.select(
-        *keys, "field_name", "item_no", "item", "kind",
-        F.coalesce("unit", "fit_unit").alias("unit"),
+        *keys, "field_name", "item_no", "quantity_no", "item", "kind",
+        F.when(guess, F.col("fit_unit")).otherwise(F.col("unit")).alias("unit"),
         F.when(guess, F.col("raw") * F.col("factor") + F.col("shift")).otherwise(F.col("value")).alias("value"),
         F.try_element_at(commons, F.col("kind")).alias("common_unit"),
         guess.alias("inferred"),
         F.when(guess, F.col("posterior")).otherwise(F.when(F.col("unit").isNotNull(), 1.0).otherwise(0.0)).alias("posterior"),
-        (F.when(guess, F.col("posterior") < CERTAIN).otherwise(F.col("unit").isNull())).alias("uncertain"),
+        (F.when(guess, (F.col("posterior") < CERTAIN) | ~F.col("supported")).otherwise(F.col("unit").isNull())).alias("uncertain"),
     )
 
 

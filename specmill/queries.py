@@ -374,7 +374,7 @@ def p4_quantities(spark: SparkSession, d: str) -> DataFrame:
     """Each quantity of the three fields as a number in its common unit."""
     rows = units.common_quantities(table(spark, d, "parsed_functions"), ["parsed_id"], QUANTITY_FIELDS)
     given = table(spark, d, "common_units").withColumnRenamed("common_unit", "wanted")  # a fixed table of one row per kind
-    return rows.join(F.broadcast(given), rows["kind"] == given["quantity"], "left").select("parsed_id", "field_name", "item_no", "item", "kind", "unit", "value", F.coalesce("wanted", "common_unit").alias("common_unit"), "inferred", "posterior", "uncertain")
+    return rows.join(F.broadcast(given), rows["kind"] == given["quantity"], "left").select("parsed_id", "field_name", "item_no", "quantity_no", "item", "kind", "unit", "value", F.coalesce("wanted", "common_unit").alias("common_unit"), "inferred", "posterior", "uncertain")
 
 
 QUERIES = (

@@ -46,3 +46,24 @@ def test_restated_pairs(spark):
     got = {(r["a"], r["b"], r["field_name"]) for r in U.restated_pairs(frame(spark, rows), "id", ["g"], FIELDS).collect()}
     assert got == {(1, 2, "thresholds"), (2, 3, "thresholds"), (1, 7, "thresholds"), (3, 7, "thresholds"), (7, 8, "timing")}
     assert U.restated_pairs(frame(spark, []), "id", ["g"], FIELDS).count() == 0
+
+
+def test_ranges_and_several_quantities(spark):
+    items = {
+        "ritardo 5 s - 10 s": [("s", 5.0), ("s", 10.0)], "5-10 s": [("s", 5.0), ("s", 10.0)], "da 5 a 10 s": [("s", 5.0), ("s", 10.0)], "24 V / 3 A": [("V", 24.0), ("A", 3.0)],
+        "1 h 2 min 3 s": [("h+min+s", 3723.0)], "30 s 1 min": [("s", 30.0), ("min", 60.0)], "fase 2: 5 s": [("s", 5.0)], "3 s circa": [("s", 3.0)], "tra 1 e 2 min": [("min", 60.0), ("min", 120.0)],
+    }
+    df = frame(spark, [(i, "a", x, None) for i, x in enumerate(items)])
+    got = {}
+    for r in sorted(U.parse_quantities(df, ["id"], FIELDS).collect(), key=lambda r: r["quantity_no"]):
+        got.setdefault(r["item"], []).append((r["unit"], r["value"]))
+    assert got == items
+
+
+def test_the_prior_keeps_common_units(spark):
+    rows = [(i, "a", f"velocità {40 + i % 80} km/h", None) for i in range(200)] + [(900 + i, "a", f"velocità {55 + i}", None) for i in range(8)] + [(990, "a", "velocità 20 knots", None)]
+    got = {r["id"]: r for r in U.common_quantities(frame(spark, rows), ["id"], FIELDS).collect()}
+    assert all(got[900 + i]["unit"] == "km/h" for i in range(8))
+    assert got[990]["value"] is None and got[990]["unit"] is None and got[990]["uncertain"] and not got[990]["inferred"]
+    few = {r["id"]: r for r in U.common_quantities(frame(spark, rows[:5] + rows[200:]), ["id"], FIELDS).collect()}
+    assert few[900]["inferred"] and few[900]["uncertain"]
