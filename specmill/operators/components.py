@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specmill.session import materialize
+from specmill.session import drop, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root``, the least node of its component, for every node in ``edges`` (u, v).
 
     Alternates large-star and small-star until no edge changes: a number of rounds that is logarithmic in the size of
-    the largest component. Each round is written to the shared folder, so lineage stays short. Self-loops and null ends
+    the largest component. Each round is written to the shared folder, so lineage stays short, and the one before it deleted. Self-loops and null ends
     are ignored but for their node.
     """
     edges = edges.where("u is not null and v is not null")
@@ -25,7 +25,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        edges = materialize(small.distinct(), "edges")
+        before, edges = edges, materialize(small.distinct(), "edges")
+        drop(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             break

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -31,24 +32,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, a temporary one only where unset."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session; where it is unset, a temporary one in local mode, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         java_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = java_dir.get() if java_dir.isDefined() else None
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="specmill-")
         atexit.register(shutil.rmtree, found[7:], True)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str) -> tuple:
+    java = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return java, java.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` as a table in the shared folder and reads it back, which cuts the lineage and survives lost executors."""
+    """Writes ``df`` as a table in the shared folder and reads it back, which cuts the lineage and survives lost executors.
+
+    The table is deleted when the driver ends; ``drop`` deletes it earlier.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    java, files = _path(spark, path)
+    files.deleteOnExit(java)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._specmill_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes a table of ``materialize`` that nothing will read again."""
+    java, files = _path(df.sparkSession, df._specmill_path)
+    files.delete(java, True)
 
 
 def blank(c: Column) -> Column:
