@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,3 +28,8 @@ def differs(a: Column, b: Column, least: int = 2) -> Column:
 def ordered_union(lists: Column) -> Column:
     """All items of an array of arrays, each once, in first-seen order."""
     return F.array_distinct(F.flatten(lists))
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -1,17 +1,26 @@
-"""Text functions as columns. Patterns use (?U), so that word boundaries and digits are those of Unicode."""
+"""Text functions as columns.
+
+A word character is a letter or number of any script, or "_"; patterns spell out its boundaries, white space and line
+ends, so that they don't depend on what an engine takes these for.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Token patterns, and how many tokens of each the parsed record keeps.
-PARSER_UNITS = "ms|s|min|h|V|kV|A|mA|Hz|kHz|km/h|bar|kPa|N|kN|W|kW|mm|cm|m|°C|%|rpm"
-COMPARATOR_UNITS = "ms|s|min|h|V|kV|A|mA|Hz|kHz|km/h|kmh|bar|kPa|MPa|N|kN|W|kW|MW|mm|cm|m|°C|K|%|rpm"
+WORD = r"[\p{L}\p{N}_]"
+BEGIN, END = f"(?<!{WORD})", f"(?!{WORD})"
+SPACE = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LINE_END = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
+
+# Token patterns, and how many tokens of each the parsed record keeps. A "%" counts only before a word.
+PARSER_UNITS = "ms|s|min|h|V|kV|A|mA|Hz|kHz|km/h|bar|kPa|N|kN|W|kW|mm|cm|m|°C|rpm"
+COMPARATOR_UNITS = "ms|s|min|h|V|kV|A|mA|Hz|kHz|km/h|kmh|bar|kPa|MPa|N|kN|W|kW|MW|mm|cm|m|°C|K|rpm"
 STATES = "IDLE|ACTIVE|INACTIVE|FAULT|FAIL(?:URE)?|ERROR|NORMAL|DEGRADED|EMERGENCY|STANDBY|ARMED|DISARMED|ENABLED|DISABLED|RUNNING|STOPPED"
-REQUIREMENT = r"(?iU)\b(?:[A-Z]{2,10}[-_]){1,3}(?:REQ[-_]?)?\d+\b"
-HARDWARE = r"(?U)\b[A-Z0-9]{3,}[-][A-Z0-9]{3,}(?:[-][A-Z0-9]+)*\b"
-SIGNAL = r"(?U)\b[A-Z][A-Z0-9]{2,}(?:_[A-Z0-9]{2,})+\b"
+REQUIREMENT = rf"(?iu){BEGIN}(?:[A-Z]{{2,10}}[-_]){{1,3}}(?:REQ[-_]?)?\p{{Nd}}+{END}"
+HARDWARE = rf"{BEGIN}[A-Z0-9]{{3,}}-[A-Z0-9]{{3,}}(?:-[A-Z0-9]+)*{END}"
+SIGNAL = rf"{BEGIN}[A-Z][A-Z0-9]{{2,}}(?:_[A-Z0-9]{{2,}})+{END}"
 KEPT = {"requirements": 20, "thresholds": 20, "timing_constraints": 10, "hardware_components": 20, "states": 15, "interfaces": 20}
 
 # Fields of the parsed record, in order; those without an extractor are always null.
@@ -20,12 +29,12 @@ PARSED_FIELDS = "function_purpose inputs outputs trigger_conditions operational_
 
 def numeric_pattern(units: str) -> str:
     """Numbers with one of the units."""
-    return rf"(?iU)\b\d+(?:[.,]\d+)?\s*(?:{units})\b"
+    return rf"(?iu){BEGIN}\p{{Nd}}+(?:[.,]\p{{Nd}}+)?{SPACE}*(?:(?:{units}){END}|%(?={WORD}))"
 
 
 def timer_pattern(names: str) -> str:
     """Timers with one of the names."""
-    return rf"(?iU)\b(?:{names})\s*[=:≤≥<>]?\s*\d+\s*(?:ms|s|min)\b"
+    return rf"(?iu){BEGIN}(?:{names}){SPACE}*[=:≤≥<>]?{SPACE}*\p{{Nd}}+{SPACE}*(?:ms|s|min){END}"
 
 
 PARSER_TIMERS = "timer|timeout|delay|watchdog"
@@ -34,7 +43,7 @@ COMPARATOR_TIMERS = "timer|timeout|delay|ritardo|attesa|watchdog"
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
 
 
 def cell_text(value: Column, vtype: Column | None = None) -> Column:
@@ -55,28 +64,31 @@ def found(text: Column, pattern: str) -> Column:
 
 def numeric_tokens(text: Column, units: str = PARSER_UNITS) -> Column:
     """Numbers with units: lower case, no white space, distinct in order."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(numeric_pattern(units)), F.lit(0)), lambda m: F.regexp_replace(F.lower(m), r"(?U)\s+", "")))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(numeric_pattern(units)), F.lit(0)), lambda m: F.regexp_replace(F.lower(m), SPACE, "")))
 
 
 def timer_tokens(text: Column, names: str = PARSER_TIMERS) -> Column:
     """Timers: lower case, single spaces, distinct in order."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(timer_pattern(names)), F.lit(0)), lambda m: F.regexp_replace(F.lower(m), r"(?U)\s+", " ")))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(timer_pattern(names)), F.lit(0)), lambda m: F.regexp_replace(F.lower(m), SPACE + "+", " ")))
 
 
 def state_tokens(text: Column, more: str = "|OPEN|CLOSED") -> Column:
     """Operating states of the upper-cased text."""
-    return found(F.upper(text), rf"(?U)\b(?:{STATES}{more})\b")
+    return found(F.upper(text), f"{BEGIN}(?:{STATES}{more}){END}")
+
+
+def text_lines(text: Column) -> Column:
+    """The lines of a text, stripped."""
+    return F.transform(F.split(text, LINE_END), strip)
 
 
 def purpose_line(text: Column) -> Column:
     """The first line of more than 20 characters that doesn't begin with a bracket, cut at 200."""
-    lines = F.transform(F.split(text, r"\R"), strip)
-    return F.substring(F.try_element_at(F.filter(lines, lambda x: (F.length(x) > 20) & ~x.startswith("[")), F.lit(1)), 1, 200)
+    return F.substring(F.try_element_at(F.filter(text_lines(text), lambda x: (F.length(x) > 20) & ~x.startswith("[")), F.lit(1)), 1, 200)
 
 
 def parsed_fields(text: Column) -> dict[str, Column]:
-    """The parsed record of a text: joined token lists; all null for null or blank text."""
-    ok = F.length(strip(F.coalesce(text, F.lit("")))) > 0
+    """The parsed record of a text: joined token lists; all null for null or blank text. Each pattern runs once."""
     lists = {
         "requirements": found(text, REQUIREMENT),
         "thresholds": numeric_tokens(text),
@@ -86,10 +98,9 @@ def parsed_fields(text: Column) -> dict[str, Column]:
         "interfaces": found(text, SIGNAL),
     }
     out = {f: F.lit(None).cast("string") for f in PARSED_FIELDS}
-    for name, tokens in lists.items():
-        kept = F.array_join(F.slice(tokens, 1, KEPT[name]), ", ")
-        out[name] = F.when(ok & (F.size(tokens) > 0), kept)
-    out["function_purpose"] = F.when(ok, purpose_line(text))
+    for name, tokens in lists.items():  # a token is never empty, so only an empty list joins to ""
+        out[name] = F.nullif(F.array_join(F.slice(tokens, 1, KEPT[name]), ", "), F.lit(""))
+    out["function_purpose"] = purpose_line(text)
     return out
 
 
@@ -106,7 +117,7 @@ def match_words(text: Column) -> Column:
 
 def clean_title(text: Column) -> Column:
     """A title without bullets, dashes and private-use glyphs in front."""
-    return strip(F.regexp_replace(text, "(?U)^[+\\-–—•*·►▪▸\\uf02a\\uf0b7\\uf0d8\\uf020\\s]+", ""))
+    return strip(F.regexp_replace(text, rf"\A(?:[-+–—•*·►▪▸\uf02a\uf0b7\uf0d8\uf020]|{SPACE})+", ""))
 
 
 def relative_path(url: Column, anchor: str) -> Column:

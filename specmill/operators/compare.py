@@ -19,45 +19,50 @@ def parse_functions(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def token_sets(df: DataFrame, group: list[str], pos: str, name: str) -> DataFrame:
-    """Long form: group, ``pos``, ``name``, field, category, tokens; one row per compared field and category."""
-    parts = []
-    for k, field in enumerate(COMPARED_FIELDS):
-        for j, (category, tokens) in enumerate(text.functional_tokens(F.col(field)).items()):
-            parts.append(F.struct(F.lit(3 * k + j).alias("slot"), F.lit(field).alias("field"), F.lit(category).alias("category"), tokens.alias("tokens")))
-    rows = df.select(*group, F.col(pos).alias("pos"), F.col(name).alias("config_name"), F.explode(F.array(*parts)).alias("t"))
-    return rows.select(*group, "pos", "config_name", "t.*")
+    """Group, ``pos``, ``config_name`` and ``sets``, an array of (field, category, tokens) in the order of fields and categories."""
+    parts = [
+        F.struct(F.lit(field).alias("field"), F.lit(category).alias("category"), tokens.alias("tokens"))
+        for field in COMPARED_FIELDS
+        for category, tokens in text.functional_tokens(F.col(field)).items()
+    ]
+    return df.select(*group, F.col(pos).alias("pos"), F.col(name).alias("config_name"), F.array(*parts).alias("sets"))
 
 
-def pair_rows(sets_: DataFrame, group: list[str]) -> DataFrame:
-    """Unordered pairs (pos_a < pos_b) of one group, joined on group and slot."""
-    a = sets_.select(*group, "slot", "field", "category", *(F.col(c).alias(f"{c}_a") for c in ("pos", "config_name", "tokens")))
-    b = sets_.select(*group, "slot", *(F.col(c).alias(f"{c}_b") for c in ("pos", "config_name", "tokens")))
-    return a.join(b, [*group, "slot"]).where("pos_a < pos_b")
+def _line(of: Column, config: Column, tokens: Column) -> Column:
+    labels = F.create_map(*(F.lit(x) for pair in CATEGORY_LABELS.items() for x in pair))
+    return F.when(F.size(tokens) > 0, F.concat(F.lit("["), of["field"], F.lit("/"), F.element_at(labels, of["category"]), F.lit("] Solo in "), config, F.lit(": "), F.array_join(F.slice(tokens, 1, 5), ", ")))
 
 
-def _line(field: Column, category: Column, config: Column, tokens: Column) -> Column:
-    labels = F.create_map(*(F.lit(x) for pair in CATEGORY_LABELS.items() for x in pair))
-    return F.when(F.size(tokens) > 0, F.concat(F.lit("["), field, F.lit("/"), F.element_at(labels, category), F.lit("] Solo in "), config, F.lit(": "), F.array_join(F.slice(tokens, 1, 5), ", ")))
+def compare_pairs(members: DataFrame, group: list[str], least: int = 2) -> DataFrame:
+    """One row per unordered pair (``pos_a`` < ``pos_b``) of a group: both names, ``has_objective_differences`` and ``summary`` (lines, in order).
+
+    All members have the same fields and categories in ``sets``, in the same order. A member meets the others of its
+    group once, with all its sets; a hot group is split by adaptive execution, and no group is collected. Rows with a
+    null in a group column are in no pair.
+    """
+    a, b = (members.select(*group, *(F.col(c).alias(f"{c}_{x}") for c in ("pos", "config_name", "sets"))) for x in "ab")
+    rows = a.join(b, group).where("pos_a < pos_b")
 
+    def compared(x: Column, y: Column) -> Column:
+        one = F.struct(sets.one_sided(x["tokens"], y["tokens"]).alias("a"), sets.one_sided(y["tokens"], x["tokens"]).alias("b"))
+        lines = lambda o: F.array_compact(F.array(_line(x, F.col("config_name_a"), o["a"]), _line(x, F.col("config_name_b"), o["b"])))
+        return F.when(sets.differs(x["tokens"], y["tokens"], least), sets.bound(one, lines))  # null without a difference
 
-def compare_pairs(sets_: DataFrame, group: list[str], least: int = 2) -> DataFrame:
-    """One row per pair: both names, ``has_objective_differences`` and ``summary`` (lines, in order)."""
-    rows = pair_rows(sets_, group)
-    differs = sets.differs(F.col("tokens_a"), F.col("tokens_b"), least)
-    lines = F.array_compact(F.array(
-        _line(F.col("field"), F.col("category"), F.col("config_name_a"), sets.one_sided(F.col("tokens_a"), F.col("tokens_b"))),
-        _line(F.col("field"), F.col("category"), F.col("config_name_b"), sets.one_sided(F.col("tokens_b"), F.col("tokens_a"))),
-    ))
-    rows = rows.select(*group, "pos_a", "pos_b", "config_name_a", "config_name_b", "slot", differs.alias("differs"), F.when(differs, lines).otherwise(F.array().cast("array<string>")).alias("lines"))
-    by = [*group, "pos_a", "pos_b", "config_name_a", "config_name_b"]
-    out = rows.groupBy(*by).agg(F.bool_or("differs").alias("has_objective_differences"), F.array_sort(F.collect_list(F.struct("slot", "lines"))).alias("l"))
-    return out.select(*by, "has_objective_differences", F.flatten(F.transform("l", lambda x: x["lines"])).alias("summary"))
+    rows = rows.withColumn("found", F.filter(F.zip_with("sets_a", "sets_b", compared), lambda x: x.isNotNull()))
+    return rows.select(*group, "pos_a", "pos_b", "config_name_a", "config_name_b", (F.size("found") > 0).alias("has_objective_differences"), F.flatten("found").alias("summary"))
 
 
 def compare_groups(pairs: DataFrame, group: list[str]) -> DataFrame:
-    """One row per group: ``any_differences`` and ``summary``, the lines of all pairs without repetition, in pair order."""
-    out = pairs.groupBy(*group).agg(F.bool_or("has_objective_differences").alias("any_differences"), F.array_sort(F.collect_list(F.struct("pos_a", "pos_b", "summary"))).alias("l"))
-    return out.select(*group, "any_differences", sets.ordered_union(F.transform("l", lambda x: x["summary"])).alias("summary"))
+    """One row per group: ``any_differences`` and ``summary``, the lines of all pairs without repetition, in pair order.
+
+    Lines are made distinct before they come together, so a group's row holds its different lines, not its pairs.
+    """
+    flags = pairs.groupBy(*group).agg(F.bool_or("has_objective_differences").alias("any_differences"))
+    lines = pairs.select(*group, "pos_a", "pos_b", F.posexplode("summary").alias("k", "line"))
+    lines = lines.groupBy(*group, "line").agg(F.min(F.struct("pos_a", "pos_b", "k")).alias("at"))
+    lines = lines.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("l"))
+    out = flags.join(lines, group, "left")
+    return out.select(*group, "any_differences", F.coalesce(F.transform("l", lambda x: x["line"]), F.array().cast("array<string>")).alias("summary"))
 
 
 def equivalent_groups(members: DataFrame, pairs: DataFrame, group: list[str]) -> DataFrame:

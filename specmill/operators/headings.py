@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specmill.functions.text import clean_title, match_words
+from specmill.functions.sets import bound
+from specmill.functions.text import SPACE, clean_title, match_words, strip
 
 # Words that make the next line a cross-reference.
 REFERENCE_WORDS = ["chapter", "see", "refer", "section", "paragraph", "capitolo", "vedi", "cfr", "paragrafo", "par", "sezione"]
@@ -44,40 +45,47 @@ def progressive(headings: Column, element: str) -> Column:
 HEADING = "struct<idx:string,parts:array<int>,title:string,offset:int>"
 
 
+#: Behind a line end, so that lines keep theirs and offsets add up.
+AFTER_LINE = r"(?<=\n)|(?<=\r)(?!\n)|(?<=[\x0b\x0c\x1c-\x1e\x85\u2028\u2029])"
+
+
 def headings(text: Column) -> Column:
     """The headings of a page as an array of ``HEADING`` in order; ``offset`` counts characters from 0 to the line's start.
 
     A line is "index title" or an index alone; then the title is the first line with a letter among the next three, up
-    to the next index. Cross-references are left out, and so is what doesn't progress.
+    to the next index. Cross-references are left out, and so is what doesn't progress. Null gives an empty array.
     """
-    plain = F.translate(F.coalesce(text, F.lit("")), " \t", "  ")
-    raw = F.split(F.regexp_replace(plain, "\r\n|\r", "\n"), "\n")
-    starts = F.aggregate(raw, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x) + 1)))
-    lines = F.transform(raw, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
-    at = lambda i: F.coalesce(F.get(lines, i), F.lit(""))
-
-    def one(line: Column, i: Column) -> Column:
-        idx = F.regexp_extract(line, r"^(\d+(?:\.\d+)+)(?:\s+.+)?$", 1)
-        rest = F.regexp_extract(line, r"^\d+(?:\.\d+)+\s+(.+)$", 1)
-        before = F.when(i > 0, at(i - 1)).otherwise("")
-        after = at(i + 1)
-        referred = F.arrays_overlap(F.regexp_extract_all(F.lower(before), F.lit("[a-z]{2,}"), F.lit(0)), F.array(*map(F.lit, REFERENCE_WORDS)))
-        continued = after.rlike(QUOTED) | (after.rlike("^[a-z]") & after.rlike(r"[).]$"))
-        is_heading = (idx != "") & valid_index(idx) & ~referred & F.when(rest != "", ~rest.rlike(QUOTED)).otherwise(~continued)
-        ahead = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.struct(at(i + k).alias("line"), clean_title(at(i + k)).alias("title")))
-        stop = F.array_position(F.transform(ahead, lambda a: a["line"].rlike(r"^\d+(?:\.\d+)+")), True)
-        able = F.filter(F.when(stop > 0, F.slice(ahead, 1, F.greatest(stop - 1, F.lit(0)).cast("int"))).otherwise(ahead), lambda a: a["title"].rlike("[a-zA-Z]"))
-        title = F.when(rest != "", clean_title(F.regexp_replace(rest, r"\s+", " "))).otherwise(F.coalesce(F.regexp_replace(F.try_element_at(able, F.lit(1))["title"], r"\s+", " "), F.lit("")))
-        return F.when(is_heading, F.struct(idx.alias("idx"), index_parts(idx).alias("parts"), title.alias("title"), F.get(starts, i).cast("int").alias("offset")))
-
-    return progressive(F.filter(F.transform(lines, one), lambda h: h.isNotNull()), HEADING)
+    plain = F.translate(F.coalesce(text, F.lit("")), "\u00a0\t", "  ")
+
+    def one(raw: Column, lines: Column, line: Column, i: Column) -> Column:
+        at = lambda k: F.coalesce(F.get(lines, k), F.lit(""))
+
+        def heading(idx: Column) -> Column:
+            rest = F.regexp_extract(line, rf"(?s)^\d+(?:\.\d+)+{SPACE}+(.+)$", 1)
+            before, after = F.when(i > 0, at(i - 1)).otherwise(""), at(i + 1)
+            referred = F.arrays_overlap(F.regexp_extract_all(F.lower(before), F.lit("[a-z]{2,}"), F.lit(0)), F.array(*map(F.lit, REFERENCE_WORDS)))
+            continued = after.rlike(QUOTED) | (after.rlike("^[a-z]") & after.rlike(r"[).]$"))
+            is_heading = valid_index(idx) & ~referred & F.when(rest != "", ~rest.rlike(QUOTED)).otherwise(~continued)
+            ahead = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.struct(at(i + k).alias("line"), clean_title(at(i + k)).alias("title")))
+            stop = F.array_position(F.transform(ahead, lambda a: a["line"].rlike(r"^\d+(?:\.\d+)+")), True)
+            able = F.filter(F.when(stop > 0, F.slice(ahead, 1, F.greatest(stop - 1, F.lit(0)).cast("int"))).otherwise(ahead), lambda a: a["title"].rlike("[a-zA-Z]"))
+            title = F.when(rest != "", clean_title(strip(F.regexp_replace(rest, SPACE + "+", " ")))).otherwise(F.coalesce(F.regexp_replace(F.try_element_at(able, F.lit(1))["title"], SPACE + "+", " "), F.lit("")))
+            offset = F.length(F.array_join(F.slice(raw, F.lit(1), i), ""))
+            return F.when((idx != "") & is_heading, F.struct(idx.alias("idx"), index_parts(idx).alias("parts"), title.alias("title"), offset.alias("offset")))
+
+        return bound(F.regexp_extract(line, rf"(?s)^(\d+(?:\.\d+)+)(?:{SPACE}+.+)?$", 1), heading)
+
+    def all_of(raw: Column) -> Column:
+        return bound(F.transform(raw, strip), lambda lines: F.filter(F.transform(lines, lambda x, i: one(raw, lines, x, i)), lambda h: h.isNotNull()))
+
+    found = progressive(bound(F.split(plain, AFTER_LINE), all_of), HEADING)
+    return F.when(plain.rlike(r"\d\.\d"), found).otherwise(F.array().cast(f"array<{HEADING}>"))
 
 
 def truncated(text: Column, found: Column, section: Column) -> Column:
     """Struct of ``text`` up to the first heading outside the section, and ``partial``."""
     foreign = F.try_element_at(F.filter(found, lambda h: ~belongs(h["idx"], section)), F.lit(1))
-    cut = F.regexp_replace(F.substr(text, F.lit(1), foreign["offset"]), r"(?U)^\s+|\s+$", "")
-    return F.struct(F.when(foreign.isNotNull(), cut).otherwise(text).alias("text"), foreign.isNotNull().alias("partial"))
+    return bound(foreign, lambda f: F.struct(F.when(f.isNotNull(), strip(F.substr(text, F.lit(1), f["offset"]))).otherwise(text).alias("text"), f.isNotNull().alias("partial")))
 
 
 def best_heading(found: Column, description: Column, func_id: Column) -> Column:

@@ -87,6 +87,15 @@ def follow_references(cells: DataFrame, most: int = 5) -> DataFrame:
     return state.select("sheet", "row", "col", F.col("value").alias("plain"))
 
 
+def load_codes(cells: DataFrame, config_sheet: str = "CONFIG", manual_sheet: str = "MAN_CPR", base_sheet: str = "Cartelle", c: Config = Config()) -> tuple[DataFrame, DataFrame]:
+    """The support sheets of a workbook at once: the long dimension of codes (``source_sheet``, ``doc_id``, ``config_name``, ``col_pos``, ``file_code``), and the base address (no row where none is found)."""
+    sheet = lambda n: cells.where(F.col("sheet") == n)
+    config = config_codes(sheet(config_sheet)).withColumn("source_sheet", F.lit("CONFIG"))
+    manual = manual_codes(sheet(manual_sheet)).withColumn("source_sheet", F.lit("MAN_CPR"))
+    codes = config.unionByName(manual).select("source_sheet", "doc_id", "config_name", "col_pos", "file_code")
+    return codes, base_url(sheet(base_sheet), c).where("base_url is not null").select("base_url")
+
+
 def best_codes(targets: DataFrame, codes: DataFrame, out_col: str) -> DataFrame:
     """``targets`` with ``out_col``: the file code of its document and configuration.
 
@@ -118,17 +127,20 @@ def resolve_files(wanted: DataFrame, files: DataFrame, url_col: str, anchor: str
     """``wanted`` with ``doc_path``: the file of its URL's path, null where none fits.
 
     The exact path comes first, then the same name with the most folders in common, then the same name in other case;
-    ties go to the least path. ``files`` has ``path``, relative to the anchor folder.
+    ties go to the least path. ``files`` has ``path``, relative to the anchor folder. Only paths that aren't there as
+    they are meet the files of their name, so a name that is common in many folders costs nothing where paths are right.
     """
     name = lambda c: F.substring_index(c, "/", -1)
     parts = lambda c: F.filter(F.split(F.lower(F.regexp_replace(c, "[^/]*$", "")), "/"), lambda x: x != "")
     asked = wanted.select(relative_path(F.col(url_col), anchor).alias("rel")).where("rel is not null").distinct()
-    known = files.select("path", F.lower(name(F.col("path"))).alias("low"))
-    hits = asked.withColumn("low", F.lower(name(F.col("rel")))).join(known, "low")
-    kind = F.when(F.col("path") == F.col("rel"), 0).when(name(F.col("path")) == name(F.col("rel")), 1).otherwise(2)
-    common = F.when(kind == 1, F.size(F.array_intersect(parts(F.col("path")), parts(F.col("rel"))))).otherwise(0)
-    best = hits.groupBy("rel").agg(F.min(F.struct(kind.alias("k"), (-common).alias("c"), "path"))["path"].alias("doc_path"))
-    return wanted.withColumn("_rel", relative_path(F.col(url_col), anchor)).join(best, F.col("_rel") == F.col("rel"), "left").drop("_rel", "rel")
+    known = files.select("path").where("path is not null").distinct()
+    exact = asked.join(known, F.col("rel") == F.col("path")).select("rel", F.col("path").alias("doc_path"))
+    other = asked.join(known, F.col("rel") == F.col("path"), "left_anti").select("rel", F.lower(name(F.col("rel"))).alias("low"))
+    hits = other.join(known.withColumn("low", F.lower(name(F.col("path")))), "low")
+    same = name(F.col("path")) == name(F.col("rel"))
+    common = F.when(same, F.size(F.array_intersect(parts(F.col("path")), parts(F.col("rel"))))).otherwise(0)
+    best = hits.groupBy("rel").agg(F.min(F.struct((~same).cast("int").alias("k"), (-common).alias("c"), "path"))["path"].alias("doc_path"))
+    return wanted.withColumn("_rel", relative_path(F.col(url_col), anchor)).join(exact.unionByName(best), F.col("_rel") == F.col("rel"), "left").drop("_rel", "rel")
 
 
 def run_limit(rows: DataFrame, part: list[str], order: list[str], success: Column, most: int) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from specmill.config import Config
-from specmill.functions.sets import jaccard
+from specmill.functions.sets import bound, jaccard
+from specmill.functions.text import strip
 from specmill.operators.headings import belongs, best_heading, truncated, with_headings
 
 
@@ -20,11 +21,16 @@ def top_keywords(df: DataFrame, key: list[str], text_col: str, top: int = 30, pa
 
 
 def keyword_array(text: Column, top: int = 30) -> Column:
-    """The same within one row: the most frequent words of five letters or more."""
+    """The same within one row: the most frequent words of five letters or more. Words are sorted once and counted by runs."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]{5,}"), F.lit(0))
-    kinds = F.array_distinct(words)
-    counted = F.transform(kinds, lambda w, i: F.struct((-F.size(F.filter(words, lambda x: x == w))).alias("n"), i.alias("i"), w.alias("w")))
-    return F.transform(F.slice(F.array_sort(counted), 1, top), lambda c: c["w"])
+    ordered = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+
+    def counted(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda x, k: F.when((k == 0) | (F.get(s, F.greatest(k - 1, F.lit(0)))["w"] != x["w"]), k)), lambda k: k.isNotNull())
+        run = lambda b, j, k: F.struct((k - F.coalesce(F.get(b, j + 1), F.size(s))).alias("n"), F.get(s, k)["i"].alias("i"), F.get(s, k)["w"].alias("w"))
+        return bound(starts, lambda b: F.transform(b, lambda k, j: run(b, j, k)))
+
+    return F.transform(F.slice(F.array_sort(bound(ordered, counted)), 1, top), lambda c: c["w"])
 
 
 def take_while(rows: DataFrame, part: list[str], order: str, stop: Column, include_stop: Column) -> DataFrame:
@@ -40,29 +46,38 @@ def extract_sections(targets: DataFrame, pages: DataFrame, key: str, c: Config =
     ``targets`` has the key, doc_path, page_number, func_desc and func_id; ``pages`` doc_path, page_no, text. Targets
     without a readable start page get "" and their own page. The start page is never cut at its end. With headings on
     it, following pages run to the first heading outside the section; without, as long as their keywords are alike.
+
+    Pages and targets meet on document and page number, so that a document that many ask for spreads over its pages;
+    what follows needs each target's pages together, of which there are ``most_extra_pages`` and one at most.
     """
     asked = targets.select(key, "doc_path", "page_number", "func_desc", "func_id", F.greatest(F.col("page_number"), F.lit(1)).alias("first"))
-    paged = with_headings(pages.where("doc_path is not null").select("doc_path", "page_no", F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", "").alias("text")))
-    rows = asked.join(paged, "doc_path").where(F.col("page_no").between(F.col("first"), F.col("first") + c.most_extra_pages))
-    start = rows.where("page_no = first and text <> ''").withColumn("chosen", best_heading(F.col("headings"), F.coalesce("func_desc", F.lit("")), F.coalesce("func_id", F.lit(""))))
-    start = start.withColumn("offset", F.coalesce(F.col("chosen.offset"), F.lit(0)))
-    starts = start.select(key, F.col("chosen.idx").alias("section"), "offset", F.when(F.col("chosen").isNull(), keyword_array(F.col("text"), c.top_keywords)).alias("start_words"))
-    body = rows.join(starts, key)
+    asked = asked.select("*", F.explode(F.sequence(F.col("first"), F.col("first") + c.most_extra_pages)).alias("page_no"))
+    paged = with_headings(pages.where("doc_path is not null").select("doc_path", "page_no", strip(F.coalesce("text", F.lit(""))).alias("text")))
+    rows = asked.join(paged, ["doc_path", "page_no"])
+    is_start = F.col("page_no") == F.col("first")
+
+    def started(chosen: Column) -> Column:
+        same = F.filter("headings", lambda h: h["idx"] == chosen["idx"])
+        return F.struct(chosen["idx"].alias("section"), F.coalesce(F.try_element_at(same, F.lit(1))["offset"], F.lit(0)).alias("offset"), F.when(chosen.isNull(), keyword_array(F.col("text"), c.top_keywords)).alias("words"))
+
+    start = bound(best_heading(F.col("headings"), F.coalesce("func_desc", F.lit("")), F.coalesce("func_id", F.lit(""))), started)
+    rows = rows.withColumn("start", F.when(is_start & (F.col("text") != ""), start))
+    body = rows.withColumn("start", F.first("start", True).over(Window.partitionBy(key))).where("start is not null")
+    body = body.select("*", F.col("start.section").alias("section"), F.col("start.offset").alias("offset"), F.col("start.words").alias("start_words"))
     first_heading = F.try_element_at(F.col("headings"), F.lit(1))
     by_heading = F.col("section").isNotNull()
-    is_start = F.col("page_no") == F.col("first")
     silent = (F.col("text") == "") | (F.size("headings") == 0)
     inside = belongs(first_heading["idx"], F.col("section"))
     cut = truncated(F.col("text"), F.col("headings"), F.col("section"))
     alike = jaccard(keyword_array(F.col("text"), c.top_keywords), F.col("start_words")) >= c.keyword_overlap
-    ahead = F.regexp_replace(F.substr(F.col("text"), F.lit(1), first_heading["offset"]), r"(?U)^\s+|\s+$", "")
+    ahead = strip(F.substr(F.col("text"), F.lit(1), first_heading["offset"]))
     no = F.lit(False)
 
     def piece_of(text: Column, stop: Column, partial: Column) -> Column:
         return F.struct(text.alias("text"), stop.alias("stop"), partial.alias("partial"))
 
     piece = (
-        F.when(is_start, piece_of(F.substr(F.col("text"), F.col("offset") + 1), no, no))
+        F.when(is_start, piece_of(F.when(F.col("offset") > 0, strip(F.substr(F.col("text"), F.col("offset") + 1))).otherwise(F.col("text")), no, no))
         .when(F.col("text") == "", piece_of(F.col("text"), no, no))
         .when(~by_heading, piece_of(F.when(alike, F.col("text")).otherwise(""), ~alike, no))
         .when(silent, piece_of(F.col("text"), no, no))

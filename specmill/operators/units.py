@@ -18,13 +18,13 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from specmill.functions.sets import bound
 from specmill.session import materialize
 
 # Kind, common unit, and per unit its code, factor (and offset) to the common unit, and spellings.
@@ -151,11 +151,6 @@ def _lookup(key: Column) -> Column:
     return F.try_element_at(table, key)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once, however often it occurs there."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _unit_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"[^\p{L}°%‰/']", "")
 
@@ -199,16 +194,16 @@ def parse_quantities(df: DataFrame, keys: list[str], fields: list[str]) -> DataF
     quantity = lambda p, u: F.struct(u["kind"].alias("kind"), u["code"].alias("unit"), convert(p["x"], u).alias("value"), p["x"].alias("raw"), (p["named"] & u.isNull()).alias("strange"), u["factor"].alias("least"), p["open"].alias("open"))
 
     def read(p: Column) -> Column:
-        return _let(_unit_key(p["text"]), lambda key: F.struct(p["x"].alias("x"), p["open"].alias("open"), F.when(key != "", _unit_of(p["text"])).alias("u"), (key != "").alias("named")))
+        return bound(_unit_key(p["text"]), lambda key: F.struct(p["x"].alias("x"), p["open"].alias("open"), F.when(key != "", _unit_of(p["text"])).alias("u"), (key != "").alias("named")))
 
     def own(parts: Column) -> Column:
         """The numbers with their units; without one they take that in front of all or, as the first end of a range, the second's."""
         known = F.exists(parts, lambda p: p["u"].isNotNull())
         given = lambda p, i: F.when(p["named"], p["u"]).when(~known, F.col("front")).when(p["open"], F.try_element_at(parts, i + 2)["u"])
-        return F.transform(parts, lambda p, i: _let(given(p, i), lambda u: quantity(p, u)))
+        return F.transform(parts, lambda p, i: bound(given(p, i), lambda u: quantity(p, u)))
 
     def add(acc: Column, q: Column) -> Column:
-        return _let(F.element_at(acc, -1), lambda last: F.when(goes_on(last, q), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(both(last, q)))).otherwise(F.concat(acc, F.array(q))))
+        return bound(F.element_at(acc, -1), lambda last: F.when(goes_on(last, q), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(both(last, q)))).otherwise(F.concat(acc, F.array(q))))
 
     def goes_on(last: Column, q: Column) -> Column:
         return F.coalesce((last["kind"] == q["kind"]) & ~last["open"] & (last["least"] > q["least"]) & (q["raw"] >= 0), F.lit(False))
@@ -223,7 +218,7 @@ def parse_quantities(df: DataFrame, keys: list[str], fields: list[str]) -> DataF
 
     kinds = "array<struct<kind:string,unit:string,value:double,raw:double,strange:boolean,least:double,open:boolean>>"
     joined = lambda qs: F.aggregate(F.slice(qs, 2, F.size(qs)), F.slice(qs, 1, 1).cast(kinds), add)
-    found = _let(F.transform("parts", read), lambda parts: _let(own(parts), lambda qs: F.when(F.size(qs) > 1, kept(joined(qs))).otherwise(qs.cast(kinds))))
+    found = bound(F.transform("parts", read), lambda parts: bound(own(parts), lambda qs: F.when(F.size(qs) > 1, kept(joined(qs))).otherwise(qs.cast(kinds))))
     names = F.create_map(*(F.lit(x) for pair in kind_names().items() for x in pair))
     named = F.try_element_at(F.filter(F.transform(F.split("label", r"[^\p{L}]+"), lambda w: F.try_element_at(names, w)), lambda k: k.isNotNull()), F.lit(1))
     rows = rows.where(F.size("parts") > 0).select(*keys, "field_name", "item_no", "item", named.alias("label_kind"), F.posexplode(found).alias("quantity_no", "q"))

@@ -1,43 +1,44 @@
-"""The queries in DuckDB's SQL, by query name."""
+"""The queries of the core in SQL, by query name."""
 
 from __future__ import annotations
 
-_PLAIN = r"regexp_replace({}, '[^\x00-\x7F]', ' ', 'g')"
-_UNITS = "ms|s|min|h|V|kV|A|mA|Hz|kHz|km/h|bar|kPa|N|kN|W|kW|mm|cm|m|%|rpm"
-_MORE_UNITS = "ms|s|min|h|V|kV|A|mA|Hz|kHz|km/h|kmh|bar|kPa|MPa|N|kN|W|kW|MW|mm|cm|m|K|%|rpm"
+from specmill.oracles import cells, sections
+from specmill.oracles.texts import LINES, NO_SPACE, SHORT, SPACE, SUMMARY, all_tokens, squeezed
+
+# Without "°C" and "%", which don't begin with a word character.
+_UNITS = r"ms|s|min|h|V|kV|A|mA|Hz|kHz|km\x02/\x01h|bar|kPa|N|kN|W|kW|mm|cm|m|rpm"
+_MORE_UNITS = r"ms|s|min|h|V|kV|A|mA|Hz|kHz|km\x02/\x01h|kmh|bar|kPa|MPa|N|kN|W|kW|MW|mm|cm|m|K|rpm"
 _STATES = "IDLE|ACTIVE|INACTIVE|FAULT|FAIL(?:URE)?|ERROR|NORMAL|DEGRADED|EMERGENCY|STANDBY|ARMED|DISARMED|ENABLED|DISABLED|RUNNING|STOPPED"
 
 
-def _all(text: str, pattern: str) -> str:
-    return f"regexp_extract_all({text}, '{pattern}')"
+def _numeric(units: str) -> str:
+    return rf"(?i)\x01\p{{Nd}}+(?:\x02[.,]\x01\p{{Nd}}+)?(?:(?:\x02{SPACE}+\x01)?(?:{units})\x02|\x02{SPACE}*°\x01C\x02|\x02{SPACE}*%\x01)"
 
 
-def _squeezed(text: str, pattern: str, by: str) -> str:
-    return rf"list_transform({_all(text, pattern)}, lambda x: regexp_replace(lower(x), '\s+', '{by}', 'g'))"
+def _timer(names: str) -> str:
+    return rf"(?i)\x01(?:{names})(?:\x02{SPACE}*[=:≤≥<>]?{SPACE}*\x01)?\p{{Nd}}+(?:\x02{SPACE}+\x01)?(?:ms|s|min)\x02"
 
 
 def _kinds(t: str) -> dict[str, str]:
     return {
-        "numeric": _squeezed(t, rf"(?i)\b\d+(?:[.,]\d+)?\s*(?:{_UNITS})\b", ""),
-        "timer": _squeezed(t, r"(?i)\b(?:timer|timeout|delay|watchdog)\s*[=:<>]?\s*\d+\s*(?:ms|s|min)\b", " "),
-        "state": _all(f"upper({t})", rf"\b(?:{_STATES}|OPEN|CLOSED)\b"),
-        "hardware": _all(t, r"\b[A-Z0-9]{3,}[-][A-Z0-9]{3,}(?:[-][A-Z0-9]+)*\b"),
-        "signal": _all(t, r"\b[A-Z][A-Z0-9]{2,}(?:_[A-Z0-9]{2,})+\b"),
-        "requirement": _all(t, r"(?i)\b(?:[A-Z]{2,10}[-_]){1,3}(?:REQ[-_]?)?\d+\b"),
+        "numeric": squeezed(t, _numeric(_UNITS), ""),
+        "timer": squeezed(t, _timer("timer|timeout|delay|watchdog"), " "),
+        "state": all_tokens(f"upper({t})", rf"\x01(?:{_STATES}|OPEN|CLOSED)\x02"),
+        "hardware": all_tokens(t, r"\x01[A-Z0-9]{3,}\x02-\x01[A-Z0-9]{3,}(?:\x02-\x01[A-Z0-9]+)*\x02"),
+        "signal": all_tokens(t, r"\x01[A-Z][A-Z0-9]{2,}(?:_[A-Z0-9]{2,})+\x02"),
+        "requirement": all_tokens(t, r"(?i)\x01(?:[A-Z]{2,10}(?:\x02-\x01|_)){1,3}(?:REQ(?:\x02-\x01|_)?)?\p{Nd}+\x02"),
     }
 
 
 # Distinct tokens of each text and kind, numbered by their first place.
 _TOKENS = (
-    "t AS (SELECT text_id, " + _PLAIN.format("text") + " AS t FROM config_texts WHERE text IS NOT NULL), "
+    "t AS (SELECT text_id, text AS t FROM config_texts WHERE text IS NOT NULL), "
     "l AS (" + " UNION ALL ".join(f"SELECT text_id, '{k}' AS kind, {v} AS l FROM t" for k, v in _kinds("t").items()) + "), "
     "u AS (SELECT text_id, kind, unnest(l) AS token, generate_subscripts(l, 1) AS p FROM l), "
     "d AS (SELECT text_id, kind, token, min(p) AS p FROM u GROUP BY ALL), "
     "r AS (SELECT text_id, kind, CAST(row_number() OVER (PARTITION BY text_id, kind ORDER BY p) - 1 AS INT) AS pos, token FROM d)"
 )
 
-_LINES = r"list_transform(string_split(t, chr(10)), lambda x: regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', ''))"
-
 _PART_PAIRS = """
 k AS (SELECT DISTINCT p_type, p_brand, CAST(p_size % 8 AS VARCHAR) AS token FROM part),
 b AS (SELECT p_type, p_brand, count(*) AS n FROM k GROUP BY ALL),
@@ -83,33 +84,32 @@ SQL: dict[str, str] = {
               WHERE pos < CASE kind WHEN 'timer' THEN 10 WHEN 'state' THEN 15 ELSE 20 END GROUP BY ALL),
         v AS (SELECT text_id, max(s) FILTER (kind = 'state') AS states, max(s) FILTER (kind = 'signal') AS interfaces, max(s) FILTER (kind = 'hardware') AS hardware_components,
               max(s) FILTER (kind = 'requirement') AS requirements, max(s) FILTER (kind = 'timer') AS timing_constraints, max(s) FILTER (kind = 'numeric') AS thresholds FROM j GROUP BY text_id),
-        pl AS (SELECT text_id, list_filter({_LINES}, lambda x: length(x) > 20 AND NOT starts_with(x, '['))[1][1:200] AS function_purpose FROM t)
-        SELECT c.text_id, function_purpose, states, interfaces, hardware_components, requirements, timing_constraints, thresholds
+        pl AS (SELECT text_id, substring(list_filter({LINES}, lambda x: length(x) > 20 AND NOT starts_with(x, '['))[1], 1, 200) AS function_purpose FROM t)
+        SELECT c.text_id, function_purpose, states, interfaces, hardware_components, requirements, timing_constraints, thresholds, CAST(NULL AS VARCHAR) AS inputs
         FROM config_texts c LEFT JOIN pl USING (text_id) LEFT JOIN v USING (text_id)""",
-    "purpose_line": f"""WITH t AS (SELECT text_id, {_PLAIN.format("text")} AS t FROM config_texts WHERE text IS NOT NULL),
-        l AS (SELECT text_id, list_filter({_LINES}, lambda x: length(x) > 20) AS l FROM t)
-        SELECT text_id, list_filter(l, lambda x: NOT starts_with(x, '['))[1][1:200] AS purpose,
-        CASE WHEN len(l) > 0 THEN array_to_string(l, ' ')[1:400] ELSE '[Testo disponibile nel documento]' END AS summary FROM l""",
+    "purpose_line": f"""WITH t AS (SELECT text_id, text AS t FROM config_texts WHERE text IS NOT NULL)
+        SELECT text_id, substring(list_filter({SHORT}, lambda x: NOT starts_with(x, '['))[1], 1, 200) AS purpose, {SUMMARY} AS summary FROM t""",
     "pair_diff": f"WITH {_PART_PAIRS} SELECT p_type, brand_a, brand_b, differs, CASE WHEN differs THEN concat_ws(chr(10), la, lb) ELSE '' END AS summary FROM q",
     "group_report": f"""WITH {_PART_PAIRS},
         n AS (SELECT p_type, brand_a, brand_b, 1 AS o, la AS line FROM q WHERE differs AND la IS NOT NULL UNION ALL SELECT p_type, brand_a, brand_b, 2, lb FROM q WHERE differs AND lb IS NOT NULL),
-        f AS (SELECT p_type, line, row_number() OVER (PARTITION BY p_type ORDER BY brand_a, brand_b, o) AS k FROM n),
+        f AS (SELECT p_type, line, min((brand_a, brand_b, o)) AS k FROM n GROUP BY ALL),
         a AS (SELECT p_type, bool_or(differs) AS any_differences FROM q GROUP BY p_type)
-        SELECT a.p_type, any_differences, CAST(count(DISTINCT line) AS INT) AS n_lines, min(CASE WHEN k = 1 THEN line END) AS first_line,
+        SELECT a.p_type, any_differences, coalesce(string_agg(line, chr(10) ORDER BY k), '') AS summary,
         CAST(count(DISTINCT regexp_extract(line, '^\\[([^\\]]*)\\]', 1)) AS INT) AS n_types FROM a LEFT JOIN f USING (p_type) GROUP BY ALL""".replace("\\\\", "\\"),
-    "pair_report": "WITH f AS (SELECT parsed_id, func_id, doc_id, unnest([{'f': 1, 't': thresholds}, {'f': 2, 't': timing_constraints}, {'f': 3, 't': states}, {'f': 4, 't': operational_logic}, {'f': 5, 't': failure_behaviour}, {'f': 6, 't': performance_parameters}, {'f': 7, 't': inputs}, {'f': 8, 't': outputs}]) AS v FROM parsed_functions WHERE func_id IS NOT NULL AND doc_id IS NOT NULL), "
-    + "g AS (SELECT parsed_id, func_id, doc_id, v.f AS f, " + _PLAIN.format("coalesce(v.t, '')") + " AS t FROM f), "
-    + "k AS (SELECT parsed_id, func_id, doc_id, f, 1 AS c, unnest(list_distinct(" + _squeezed("t", rf"(?i)\b\d+(?:[.,]\d+)?\s*(?:{_MORE_UNITS})\b", "") + ")) AS token FROM g UNION ALL "
-    + "SELECT parsed_id, func_id, doc_id, f, 2, unnest(list_distinct(" + _squeezed("t", r"(?i)\b(?:timer|timeout|delay|ritardo|attesa|watchdog)\s*[=:<>]?\s*\d+\s*(?:ms|s|min)\b", " ") + ")) FROM g UNION ALL "
-    + "SELECT parsed_id, func_id, doc_id, f, 3, unnest(list_distinct(" + _all("upper(t)", rf"\b(?:{_STATES})\b") + """)) FROM g),
-        r AS (SELECT parsed_id, func_id, doc_id FROM parsed_functions WHERE func_id IS NOT NULL AND doc_id IS NOT NULL),
-        p AS (SELECT a.parsed_id AS parsed_id_a, b.parsed_id AS parsed_id_b FROM r a JOIN r b ON a.func_id = b.func_id AND a.doc_id = b.doc_id AND a.parsed_id < b.parsed_id),
-        s AS (SELECT parsed_id, f, c, list(token) AS l FROM k GROUP BY ALL),
-        z AS (SELECT p.*, f, c, coalesce((SELECT l FROM s WHERE s.parsed_id = parsed_id_a AND s.f = x.f AND s.c = x.c), []) AS la, coalesce((SELECT l FROM s WHERE s.parsed_id = parsed_id_b AND s.f = x.f AND s.c = x.c), []) AS lb
-              FROM p, (SELECT DISTINCT f, c FROM k) x),
-        y AS (SELECT parsed_id_a, parsed_id_b, len(list_filter(la, lambda v: NOT list_contains(lb, v))) AS na, len(list_filter(lb, lambda v: NOT list_contains(la, v))) AS nb, len(la) >= 2 OR len(lb) >= 2 AS big FROM z)
-        SELECT parsed_id_a, parsed_id_b, bool_or(big AND (na >= 2 OR nb >= 2)) AS differs,
-        CAST(sum(CASE WHEN big AND (na >= 2 OR nb >= 2) THEN CAST(na > 0 AS INT) + CAST(nb > 0 AS INT) ELSE 0 END) AS INT) AS n_lines FROM y GROUP BY ALL""",
+    "pair_report": "WITH f AS (SELECT parsed_id, unnest([{'f': 1, 't': thresholds}, {'f': 2, 't': timing_constraints}, {'f': 3, 't': states}, {'f': 4, 't': operational_logic}, {'f': 5, 't': failure_behaviour}, {'f': 6, 't': performance_parameters}, {'f': 7, 't': inputs}, {'f': 8, 't': outputs}]) AS v FROM parsed_functions WHERE func_id IS NOT NULL AND doc_id IS NOT NULL), "
+    + "g AS (SELECT parsed_id, v.f AS f, coalesce(v.t, '') AS t FROM f), "
+    + "s AS (SELECT parsed_id, f, 1 AS c, list_distinct(" + squeezed("t", _numeric(_MORE_UNITS), "") + ") AS l FROM g UNION ALL "
+    + "SELECT parsed_id, f, 2, list_distinct(" + squeezed("t", _timer("timer|timeout|delay|ritardo|attesa|watchdog"), " ") + ") FROM g UNION ALL "
+    + "SELECT parsed_id, f, 3, list_distinct(" + all_tokens("upper(t)", rf"\x01(?:{_STATES})\x02") + """) FROM g),
+        r AS (SELECT parsed_id, func_id, doc_id, coalesce(config_name, '?') AS name FROM parsed_functions WHERE func_id IS NOT NULL AND doc_id IS NOT NULL),
+        p AS (SELECT a.parsed_id AS parsed_id_a, b.parsed_id AS parsed_id_b, a.name AS na, b.name AS nb FROM r a JOIN r b ON a.func_id = b.func_id AND a.doc_id = b.doc_id AND a.parsed_id < b.parsed_id),
+        z AS (SELECT p.*, x.f, x.c, len(x.l) >= 2 OR len(y.l) >= 2 AS big, list_sort(list_filter(x.l, lambda v: NOT list_contains(y.l, v))) AS la, list_sort(list_filter(y.l, lambda v: NOT list_contains(x.l, v))) AS lb
+              FROM p JOIN s x ON x.parsed_id = parsed_id_a JOIN s y ON y.parsed_id = parsed_id_b AND y.f = x.f AND y.c = x.c),
+        d AS (SELECT parsed_id_a, parsed_id_b, f, c, na, nb, la, lb,
+              '[' || ['thresholds', 'timing_constraints', 'states', 'operational_logic', 'failure_behaviour', 'performance_parameters', 'inputs', 'outputs'][f] || '/' || ['parametri numerici', 'timer/timeout', 'stati operativi'][c] || '] Solo in ' AS head
+              FROM z WHERE big AND (len(la) >= 2 OR len(lb) >= 2)),
+        m AS (SELECT parsed_id_a, parsed_id_b, string_agg(concat_ws(chr(10), CASE WHEN len(la) > 0 THEN head || na || ': ' || array_to_string(la[1:5], ', ') END, CASE WHEN len(lb) > 0 THEN head || nb || ': ' || array_to_string(lb[1:5], ', ') END), chr(10) ORDER BY f, c) AS s FROM d GROUP BY ALL)
+        SELECT p.parsed_id_a, p.parsed_id_b, s IS NOT NULL AS differs, coalesce(s, '') AS summary FROM p LEFT JOIN m USING (parsed_id_a, parsed_id_b)""",
     "equiv_groups": """WITH RECURSIVE k AS (SELECT DISTINCT c_nationkey, c_mktsegment AS s, CAST(abs(c_acctbal) AS DOUBLE) AS b FROM customer),
         t AS (SELECT DISTINCT c_nationkey, s, CAST(trunc(b) AS BIGINT) % 8 AS token FROM k),
         n AS (SELECT c_nationkey, s, count(*) AS n FROM t GROUP BY ALL),
@@ -130,7 +130,7 @@ SQL: dict[str, str] = {
     "page_note": """WITH t AS (SELECT *, CASE WHEN coalesce(page_number_end, 0) > 0 THEN page_number_end ELSE page_number END AS e, CASE WHEN coalesce(start_is_partial, false) THEN 'parte di ' ELSE '' END AS s,
         CASE WHEN coalesce(end_is_partial, false) THEN 'parte di ' ELSE '' END AS p FROM targets)
         SELECT target_id, CASE WHEN e > page_number THEN 'Pag. iniziale: ' || s || 'pag.' || page_number || ' — Pag. finale: ' || p || 'pag.' || e || '.'
-        ELSE 'Pag. di riferimento: ' || CASE WHEN s <> '' THEN s ELSE p END || 'pag.' || page_number || '.' END AS note FROM t""",
+        ELSE 'Pag. di riferimento: ' || s || 'pag.' || page_number || '.' END AS note FROM t""",
     "cell_color": "SELECT result_id, CASE WHEN starts_with(text, '[') AND ends_with(text, ']') THEN 'grey' WHEN has_differences IS NULL THEN 'black' WHEN has_differences THEN 'red' ELSE 'green' END AS cell_color FROM synthesis_results WHERE text IS NOT NULL",
     "hier_scan": f"WITH {_SHEET} SELECT sheet, func_id, doc_id, config_name, row_no, col_no, page_number FROM s",
     "start_latch": f"WITH {_SHEET} SELECT sheet, func_id, row_no, col_no FROM s WHERE started = 1",
@@ -214,6 +214,15 @@ SQL: dict[str, str] = {
         s AS (SELECT user_id, min(n) AS m FROM e WHERE event_type <> 'error' AND n >= 20 GROUP BY user_id)
         SELECT event_id, user_id, event_type FROM e LEFT JOIN s USING (user_id) WHERE m IS NULL OR n <= m""",
     "group_collect": "SELECT l_orderkey, count(*) AS n, string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS lines FROM lineitem GROUP BY l_orderkey",
-    "own_text": r"""WITH x AS (SELECT target_id, coalesce(text, '') AS t FROM config_texts WHERE target_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY text_id) = 1)
-        SELECT target_id, CAST(length(coalesce(t, '')) AS INT) AS n_chars, length(trim(regexp_replace(coalesce(t, ''), '[ \t\n\r]+', ' ', 'g'))) > 0 AS has_text FROM targets LEFT JOIN x USING (target_id)""",
-}
+    "own_text": rf"""WITH x AS (SELECT target_id, coalesce(text, '') AS t FROM config_texts WHERE target_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY text_id) = 1)
+        SELECT target_id, coalesce(t, '') AS text, coalesce(regexp_matches(t, '{NO_SPACE}'), false) AS has_text FROM targets LEFT JOIN x USING (target_id)""",
+    "formula_more": """WITH c AS (SELECT CAST(c_custkey AS INT) AS k, CAST(c_custkey + 1 AS INT) AS row, c_name AS a, c_mktsegment AS b FROM customer),
+        n AS (SELECT *, k % 700 + 1 AS m FROM c)
+        SELECT row, 3 AS col, '$' || CASE WHEN m <= 26 THEN chr(64 + m) ELSE chr(65 + (m - 27) // 26) || chr(65 + (m - 27) % 26) END || '$' || k || '$AB$2' AS url, NULL AS title FROM n UNION ALL
+        SELECT row, 4, b || '|' || CASE WHEN k % 3 > 0 THEN a ELSE '' END, NULL FROM c UNION ALL
+        SELECT row, 5, b || 'x' || a || '1+2', NULL FROM c UNION ALL
+        SELECT row, 6, '<>', NULL FROM c UNION ALL
+        SELECT row, 7, b || right(b, 1) || left(b, 1) || left(b, 2), NULL FROM c UNION ALL
+        SELECT row, 8, replace(b, 'I', '_') || '0' || 'a  b' || CASE WHEN strpos(substring(b, 4), 'I') > 0 THEN CAST(strpos(substring(b, 4), 'I') + 3 AS VARCHAR) ELSE '' END || '1.5-', NULL FROM c""",
+} | sections.SQL | cells.SQL
+SQL["urls_built"] = f"SELECT target_id, url FROM ({SQL['routed_lookup']}) WHERE url IS NOT NULL"

@@ -28,7 +28,7 @@ def targets_with_text(cells: DataFrame, codes: DataFrame, base: str, pages: Data
 
 
 def compared(rows: DataFrame, completer: Callable[[str], str], c: Config = Config()) -> DataFrame:
-    """One result per row: ``row_no``, ``col_no``, ``text``, ``color``, ``has_differences``, ``score``.
+    """One result per row: ``row_no``, ``col_no``, ``text``, ``color``, ``has_differences``, ``score``, ``log``.
 
     ``rows`` has the group, config_name, row_no, col_no, page_number, page_end, the partial flags and text. The model is
     asked once per group, and its answers are written to the shared folder before they fan out.
@@ -41,19 +41,22 @@ def compared(rows: DataFrame, completer: Callable[[str], str], c: Config = Confi
     groups = materialize(compare.compare_groups(compare.compare_pairs(tokens, GROUP, c.least_tokens), GROUP), "groups")
     members = valid.join(groups.select(*GROUP, "summary"), GROUP, "left")
     asked = decide.ask(decide.prompts(members.select(*GROUP, "pos", "config_name", "text", "summary"), GROUP), completer)
-    answers = materialize(asked.select(*GROUP, "raw"), "answers").withColumn("answer", decide.read_answer(F.col("raw")))
+    answers = materialize(asked.select(*GROUP, "raw"), "answers")
+    known = valid.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("config_name")).alias("names"))  # columns of a sheet
+    answers = answers.join(known, GROUP).withColumn("answer", decide.read_answer(F.col("raw"), F.col("names")))
     answers = answers.join(groups, GROUP, "left").withColumn("summary", F.coalesce("summary", F.array().cast("array<string>")))
-    lower = F.transform(F.col("answer.technical_differences"), F.lower)
-    unreadable = F.exists(lower, lambda d: d.contains("errore") | d.contains("parsing"))
+    unreadable = F.exists("answer.technical_differences", lambda d: d.contains("errore") | d.contains("parsing"))
     if c.strict_uncertain:
         unreadable = unreadable | (F.col("answer.motivazione") == decide.UNREADABLE)
-    counts = F.size(decide.different_categories(F.col("answer.checklist"))), F.size(decide.difference_types(F.col("summary")))
-    answers = answers.withColumn("decided", decide.decision(F.col("answer.score"), *counts, unreadable, c)).drop("raw")
-    sizes = valid.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"))
-    out = rows.join(sizes, GROUP, "left").join(answers, GROUP, "left")
-    missing = blank(F.col("text"))
-    told = F.when(F.col("answer").isNotNull(), decide.cell_text(F.col("config_name"), F.col("answer"), F.col("decided"), F.col("summary"), F.col("n"))).otherwise(F.concat(decide.single_synthesis(F.col("text")), F.lit("\n\nUnica configurazione — nessun confronto effettuato.")))
-    noted = F.concat(told, F.lit("\n"), decide.page_note(F.col("page_number"), F.col("page_end"), F.col("start_is_partial"), F.col("end_is_partial")))
-    void = F.concat(F.lit("[Testo non estratto: pag."), F.col("page_number").cast("string"), F.lit(" di "), F.col("doc_id"), F.lit("]"))
-    text = F.when(missing, void).otherwise(noted)
-    return out.select(*GROUP, "config_name", "row_no", "col_no", text.alias("text"), decide.color(text, F.col("decided")).alias("color"), F.col("decided").alias("has_differences"), F.col("answer.score").alias("score"))
+    different, types = decide.different_categories(F.col("answer.checklist")), decide.difference_types(F.col("summary"))
+    answers = answers.withColumns({
+        "decided": decide.decision(F.col("answer.score"), F.size(different), F.size(types), unreadable, c),
+        "reason": decide.decision_reason(F.col("answer.score"), different, types, unreadable, c),
+    }).drop("raw", "n", "names")
+    out = rows.join(known.drop("names"), GROUP, "left").join(answers, GROUP, "left")
+    told = F.when(F.col("answer").isNotNull(), decide.cell_text(F.col("config_name"), F.col("answer"), F.col("decided"), F.col("summary"), F.col("n"))).otherwise(decide.single_cell(F.col("text")))
+    note = decide.page_note(F.col("page_number"), F.col("page_end"), F.col("start_is_partial"), F.col("end_is_partial"))
+    text = decide.finished_cell(F.col("text"), told, F.col("page_number"), F.col("doc_id"), note)
+    judged = F.when(~blank(F.col("text")), F.col("decided"))
+    log = F.when(F.col("answer").isNotNull() & ~blank(F.col("text")), decide.decision_log(F.col("config_name"), F.col("answer"), F.col("decided"), F.col("reason"), F.col("summary")))
+    return out.select(*GROUP, "config_name", "row_no", "col_no", text.alias("text"), decide.color(text, judged).alias("color"), judged.alias("has_differences"), F.col("answer.score").alias("score"), log.alias("log"))

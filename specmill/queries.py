@@ -11,15 +11,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from specmill import oracle
 from specmill.formula.evaluate import resolve_hyperlinks
 from specmill.functions import sets, text
 from specmill.operators import compare, decide, headings, lookup, scan, sections, units
-from specmill.session import table
+from specmill.oracles import core as oracle
+from specmill.session import blank, spread, table
 
 QUANTITY_FIELDS = ["thresholds", "performance_parameters", "timing_constraints"]
 
 
+def texts(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table whose texts cost more to work on than to move: on all cores, however few row groups it comes in."""
+    return spread(table(spark, d, name))
+
+
 def _cells(df: DataFrame, sheet: Column, row: Column, columns: dict[int, Column | tuple[Column, Column]], formulas: dict[int, Column] | None = None) -> DataFrame:
     """Rows of a table as cells; a column's value may come with its type."""
     formulas = formulas or {}
@@ -35,39 +40,38 @@ def _headed(df: DataFrame, sheet: Column, heads: dict[int, str], body: DataFrame
     return _cells(df.select(sheet.alias("s")).distinct(), F.col("s"), F.lit(1), {c: F.lit(h) for c, h in heads.items()}).unionByName(body)
 
 
-def _plain(c: Column) -> Column:
-    return F.regexp_replace(c, r"[^\x00-\x7F]", " ")
-
-
 # --- tokens and comparison ---------------------------------------------------------------------------------------
 
 
 def token_extract(spark: SparkSession, d: str) -> DataFrame:
     """Distinct tokens of each section, by kind, in first-seen order."""
-    t = _plain(F.col("text"))
+    t = F.col("text")
     kinds = {"numeric": text.numeric_tokens(t), "timer": text.timer_tokens(t), "state": text.state_tokens(t), "hardware": text.found(t, text.HARDWARE), "signal": text.found(t, text.SIGNAL), "requirement": text.found(t, text.REQUIREMENT)}
     parts = F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("tokens")) for k, v in kinds.items()))
-    rows = table(spark, d, "config_texts").where("text is not null").select("text_id", F.explode(parts).alias("p"))
+    rows = texts(spark, d, "config_texts").where("text is not null").select("text_id", F.explode(parts).alias("p"))
     return rows.select("text_id", F.col("p.kind").alias("kind"), F.posexplode("p.tokens").alias("pos", "token"))
 
 
 def parse_record(spark: SparkSession, d: str) -> DataFrame:
     """The parsed record of each section."""
-    fields = text.parsed_fields(_plain(F.col("text")))
-    names = ["function_purpose", "states", "interfaces", "hardware_components", "requirements", "timing_constraints", "thresholds"]
-    return table(spark, d, "config_texts").select("text_id", *(fields[n].alias(n) for n in names))
+    fields = text.parsed_fields(F.col("text"))
+    names = ["function_purpose", "states", "interfaces", "hardware_components", "requirements", "timing_constraints", "thresholds", "inputs"]
+    return texts(spark, d, "config_texts").select("text_id", *(fields[n].alias(n) for n in names))
 
 
 def purpose_line(spark: SparkSession, d: str) -> DataFrame:
     """Purpose and one-line summary of each section."""
-    t = _plain(F.col("text"))
-    return table(spark, d, "config_texts").where("text is not null").select("text_id", text.purpose_line(t).alias("purpose"), decide.single_synthesis(t).alias("summary"))
+    t = F.col("text")
+    return texts(spark, d, "config_texts").where("text is not null").select("text_id", text.purpose_line(t).alias("purpose"), decide.single_synthesis(t).alias("summary"))
 
 
 def _part_pairs(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").groupBy("p_type", "p_brand").agg(F.array_sort(F.collect_set((F.col("p_size") % 8).cast("string"))).alias("tokens"))
-    rows = part.select("p_type", F.col("p_brand").alias("pos"), F.col("p_brand").alias("config_name"), F.lit(0).alias("slot"), F.lit("thresholds").alias("field"), F.lit("numeric").alias("category"), "tokens")
-    return compare.compare_pairs(rows, ["p_type"])
+    return compare.compare_pairs(part.select("p_type", F.col("p_brand").alias("pos"), F.col("p_brand").alias("config_name"), _one_set()), ["p_type"])
+
+
+def _one_set() -> Column:
+    return F.array(F.struct(F.lit("thresholds").alias("field"), F.lit("numeric").alias("category"), F.col("tokens"))).alias("sets")
 
 
 def pair_diff(spark: SparkSession, d: str) -> DataFrame:
@@ -77,23 +81,22 @@ def pair_diff(spark: SparkSession, d: str) -> DataFrame:
 
 
 def group_report(spark: SparkSession, d: str) -> DataFrame:
-    """Per part type: any difference, and the number of distinct summary lines."""
+    """Per part type: any difference, and the distinct summary lines."""
     rows = compare.compare_groups(_part_pairs(spark, d), ["p_type"])
-    return rows.select("p_type", "any_differences", F.size("summary").alias("n_lines"), F.try_element_at("summary", F.lit(1)).alias("first_line"), F.size(decide.difference_types(F.col("summary"))).alias("n_types"))
+    return rows.select("p_type", "any_differences", F.array_join("summary", "\n").alias("summary"), F.size(decide.difference_types(F.col("summary"))).alias("n_types"))
 
 
 def pair_report(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of parsed records of one function and document."""
-    rows = table(spark, d, "parsed_functions").where("func_id is not null and doc_id is not null")
-    clean = rows.select("parsed_id", "func_id", "doc_id", "config_name", *(_plain(F.col(f)).alias(f) for f in compare.COMPARED_FIELDS))
-    found = compare.compare_pairs(compare.token_sets(clean, ["func_id", "doc_id"], "parsed_id", "parsed_id"), ["func_id", "doc_id"])
-    return found.select(F.col("pos_a").alias("parsed_id_a"), F.col("pos_b").alias("parsed_id_b"), F.col("has_objective_differences").alias("differs"), F.size("summary").alias("n_lines"))
+    rows = texts(spark, d, "parsed_functions").where("func_id is not null and doc_id is not null").withColumn("name", F.coalesce("config_name", F.lit("?")))
+    found = compare.compare_pairs(compare.token_sets(rows, ["func_id", "doc_id"], "parsed_id", "name"), ["func_id", "doc_id"])
+    return found.select(F.col("pos_a").alias("parsed_id_a"), F.col("pos_b").alias("parsed_id_b"), F.col("has_objective_differences").alias("differs"), F.array_join("summary", "\n").alias("summary"))
 
 
 def equiv_groups(spark: SparkSession, d: str) -> DataFrame:
     """Market segments of a nation that no pair difference keeps apart."""
     rows = table(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.collect_set((F.abs("c_acctbal").cast("long") % 8).cast("string")).alias("tokens"))
-    rows = rows.select("c_nationkey", F.col("c_mktsegment").alias("pos"), F.col("c_mktsegment").alias("config_name"), F.lit(0).alias("slot"), F.lit("thresholds").alias("field"), F.lit("numeric").alias("category"), "tokens")
+    rows = rows.select("c_nationkey", F.col("c_mktsegment").alias("pos"), F.col("c_mktsegment").alias("config_name"), _one_set())
     pairs = compare.compare_pairs(rows, ["c_nationkey"])
     return compare.equivalent_groups(rows, pairs, ["c_nationkey"])
 
@@ -261,7 +264,7 @@ def column_letters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def formula_strings(spark: SparkSession, d: str) -> DataFrame:
-    """Formulas over cells of the same row."""
+    """Formulas over cells of the same row."""
     c = table(spark, d, "customer")
     k = F.col("c_custkey")
     f = {
@@ -276,12 +279,30 @@ def formula_strings(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("row", "col", "url", "title")
 
 
+def formula_more(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses, cells of other sheets, parentheses, functions without a result, conditions and odd arguments."""
+    c = table(spark, d, "customer")
+    k = F.col("c_custkey")
+    at = lambda f: F.replace(F.lit(f), F.lit("~"), (k + 1).cast("string"))
+    f = {
+        3: F.concat(F.lit("=ADDRESS("), k, F.lit(","), k % 700 + 1, F.lit(")&INDIRIZZO(2;28;4)")),
+        4: at("=Other!$A$~&\"|\"&'OTHER'!B~&other!C~&Other!A1:B2"),
+        5: F.lit('=($B)&(("x"&$A))&(1+2)'),
+        6: F.lit('="<"&VLOOKUP($A,1,2)&INDICE($A;1)&SCARTO($A)&INDIRECT("A1")&AND(1,1)&O(1)&NON(1)&ISERROR($A)&ISNA(1)&ROUND(2.5,0)&INT(3)&ROWS($A)&COLUMNS($A)&UNKNOWN(5)&">"'),
+        7: F.lit('=IF($B,"yes","no")&SE.ERRORE(LEFT($B,0-1),"e")&RIGHT($B,0)&RIGHT($B)&LEFT($B)&MID($B,0,2)&MID($B,"x",2)'),
+        8: F.lit('=SOSTITUISCI($B,"I","_")&LEN()&TRIM(" a  b ")&FIND("zz",$B)&FIND("I",$B,4)&CONCATENATE(1.50,"-",)'),
+    }
+    here = _cells(c, F.lit("S"), k + 1, {1: F.col("c_name"), 2: F.col("c_mktsegment"), **{n: F.lit(None) for n in f}}, f)
+    other = _cells(c, F.lit("Other"), k + 1, {1: F.col("c_mktsegment"), 2: F.when(k % 3 > 0, F.col("c_name"))}, {3: F.lit("=A1")})
+    return resolve_hyperlinks(here.unionByName(other)).where("col > 2 and sheet = 'S'").select("row", "col", "url", "title")
+
+
 # --- documents ---------------------------------------------------------------------------------------------------
 
 
 def keyword_top30(spark: SparkSession, d: str) -> DataFrame:
     """The most frequent words of each document."""
-    return sections.top_keywords(table(spark, d, "documents").where("text is not null"), ["doc_id"], "text")
+    return sections.top_keywords(texts(spark, d, "documents").where("text is not null"), ["doc_id"], "text")
 
 
 def keyword_jaccard(spark: SparkSession, d: str) -> DataFrame:
@@ -316,7 +337,7 @@ def heading_progressive(spark: SparkSession, d: str) -> DataFrame:
 
 def heading_extract(spark: SparkSession, d: str) -> DataFrame:
     """Headings of each section's text."""
-    rows = table(spark, d, "config_texts").where("text is not null")
+    rows = texts(spark, d, "config_texts").where("text is not null")
     return rows.select("text_id", F.explode(headings.headings(F.col("text"))).alias("h")).select("text_id", "h.idx", "h.title", "h.offset")
 
 
@@ -331,12 +352,18 @@ def best_heading(spark: SparkSession, d: str) -> DataFrame:
 
 def section_extract(spark: SparkSession, d: str) -> DataFrame:
     """Sections cut out of paged documents again."""
-    texts = table(spark, d, "config_texts").where("text is not null and page_number is not null")
-    pages = texts.select(F.col("text_id").cast("string").alias("doc_path"), "page_number", F.posexplode(F.split("text", r"(?m)^\[Pagina \d+\]\n?")).alias("n", "text"))
+    rows = texts(spark, d, "config_texts").where("text is not null and page_number is not null")
+    pages = rows.select(F.col("text_id").cast("string").alias("doc_path"), "page_number", F.posexplode(F.split("text", r"(?m)^\[Pagina \d+\]\n?")).alias("n", "text"))
     pages = pages.where("n > 0").select("doc_path", (F.col("page_number") + F.col("n") - 1).cast("int").alias("page_no"), "text")
-    asked = texts.select("text_id", F.col("text_id").cast("string").alias("doc_path"), "page_number", F.col("func_id").alias("func_desc"), "func_id")
-    out = sections.extract_sections(asked, pages, "text_id")
-    return out.select("text_id", "page_end", "start_is_partial", "end_is_partial", F.length("text").alias("n_chars"))
+    asked = rows.select("text_id", F.col("text_id").cast("string").alias("doc_path"), "page_number", F.col("func_id").alias("func_desc"), "func_id")
+    return sections.extract_sections(asked, pages, "text_id").select("text_id", "text", "page_end", "start_is_partial", "end_is_partial")
+
+
+def title_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Titles without bullets and glyphs in front."""
+    marks = F.array(*map(F.lit, ["+", "- ", "\u2013 ", "\u2014", "\u2022 ", "* ", "\u00b7", "\u25ba", "\u25aa ", "\u25b8", "\uf02a", "\uf0b7 ", "\uf0d8", "\uf020", "\u00a0 ", ""]))
+    t = F.concat(F.element_at(marks, (F.col("target_id") % 16 + 1).cast("int")), F.element_at(marks, (F.col("target_id") % 5 + 1).cast("int")), F.coalesce("func_desc", F.lit("")), F.lit(" "))
+    return table(spark, d, "targets").select("target_id", text.clean_title(t).alias("title"))
 
 
 # --- order and groups --------------------------------------------------------------------------------------------
@@ -357,8 +384,79 @@ def group_collect(spark: SparkSession, d: str) -> DataFrame:
 
 def own_text(spark: SparkSession, d: str) -> DataFrame:
     """Each target's first text by its configuration, "" where there is none."""
-    texts = table(spark, d, "config_texts").where("target_id is not null").groupBy("target_id").agg(F.min_by(F.coalesce("text", F.lit("")), "text_id").alias("t"))
-    return table(spark, d, "targets").join(texts, "target_id", "left").select("target_id", F.length(F.coalesce("t", F.lit(""))).alias("n_chars"), (F.length(F.trim(F.regexp_replace(F.coalesce("t", F.lit("")), r"[ \t\n\r]+", " "))) > 0).alias("has_text"))
+    firsts = table(spark, d, "config_texts").where("target_id is not null").groupBy("target_id").agg(F.min_by(F.coalesce("text", F.lit("")), "text_id").alias("t"))
+    return table(spark, d, "targets").join(firsts, "target_id", "left").select("target_id", F.coalesce("t", F.lit("")).alias("text"), (~blank(F.col("t"))).alias("has_text"))
+
+
+# --- cells -------------------------------------------------------------------------------------------------------
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of a model, made of the results' own fields: JSON, prose around it, and broken ones."""
+    r = table(spark, d, "synthesis_results")
+    i = F.col("result_id")
+    name = F.coalesce("config_name", F.lit("?"))
+    state = lambda k: F.element_at(F.array(F.lit("IDENTICAL"), F.lit(" different "), F.lit("odd")), ((i / k).cast("long") % 3 + 1).cast("int"))
+    checks = F.create_map(F.lit("safety"), state(1), F.lit("performance"), state(3), F.lit("diagnostics"), state(9), F.lit("extra"), F.lit("X"))
+    score = F.when(i % 11 == 0, F.lit(140)).otherwise((i * 7 % 101).cast("int"))
+    differences = F.when(i % 4 == 0, F.lit('["Soglia DIVERSA", {"a": "Valore", "b": 12, "c": true}]')).when(i % 13 == 0, F.lit('["Errore di lettura"]')).otherwise(F.lit("[]"))
+    parts = [F.lit('{"score": '), score.cast("string"), F.lit(', "checklist": '), F.to_json(checks), F.lit(', "technical_differences": '), differences, F.lit(', "sintesi": '), F.to_json(F.create_map(name, F.lit("  Apre la porta. ")))]
+    told = F.when(i % 3 == 0, F.concat(F.lit(', "riepilogo_confronto": '), F.to_json(F.create_map(name, F.lit("Diversa.")))) ).otherwise("")
+    why = F.when(i % 5 == 0, "").otherwise(F.when(i % 6 == 0, F.lit(', "motivazione": "Diversa."')).otherwise(F.lit(', "motivazione": "Tempi."')))
+    raw = F.when(i % 17 == 0, F.lit("nessuna risposta")).otherwise(F.concat(F.lit("Ecco: "), *parts, told, why, F.lit("} fine")))
+    summary = F.transform(F.sequence(F.lit(1), (i % 7 + 1).cast("int")), lambda k: F.concat(F.lit("["), F.element_at(F.array(F.lit("thresholds"), F.lit("inputs"), F.lit("states")), (k % 3 + 1).cast("int")), F.lit("/"), F.element_at(F.array(F.lit("parametri numerici"), F.lit("timer/timeout"), F.lit("altro")), ((i + k) % 3 + 1).cast("int")), F.lit("] Solo in A: "), k.cast("string")))
+    n = (i % 3 + 1).alias("n")
+    return r.select("result_id", name.alias("config_name"), "text", "row_no", n, summary.alias("summary"), decide.read_answer(raw, F.array(name)).alias("answer"))
+
+
+def _decided(spark: SparkSession, d: str) -> DataFrame:
+    rows = _answers(spark, d)
+    unreadable = F.exists("answer.technical_differences", lambda x: x.contains("errore") | x.contains("parsing"))
+    different, types = decide.different_categories(F.col("answer.checklist")), decide.difference_types(F.col("summary"))
+    return rows.withColumns({"decided": decide.decision(F.col("answer.score"), F.size(different), F.size(types), unreadable), "reason": decide.decision_reason(F.col("answer.score"), different, types, unreadable)})
+
+
+def answer_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of a model's answers with their defaults: differences as text, missing comparisons, unreadable answers."""
+    a = _answers(spark, d)
+    at = lambda m: F.try_element_at(F.col(f"answer.{m}"), F.col("config_name"))
+    return a.select("result_id", F.array_join("answer.technical_differences", "|").alias("differences"), at("sintesi").alias("synthesis"), at("riepilogo_confronto").alias("told"), "answer.motivazione", "answer.score")
+
+
+def decision_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions on answers, with their reasons."""
+    return _decided(spark, d).select("result_id", "decided", "reason")
+
+
+def decision_logs(spark: SparkSession, d: str) -> DataFrame:
+    """What the log tells of each decision."""
+    return _decided(spark, d).select("result_id", decide.decision_log(F.col("config_name"), F.col("answer"), F.col("decided"), F.col("reason"), F.col("summary")).alias("log"))
+
+
+def cell_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Rendered cells (PR3, F1, P16, T7)."""
+    return _decided(spark, d).select("result_id", decide.cell_text(F.col("config_name"), F.col("answer"), F.col("decided"), F.col("summary"), F.col("n")).alias("cell"))
+
+
+def finished_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Cells with their page notes, lone configurations, blank and missing texts among them (D2, D3, PR4)."""
+    rows = table(spark, d, "config_texts")
+    note = decide.page_note(F.col("page_number"), F.col("page_number_end"), F.col("text_id") % 2 == 0, F.col("text_id") % 3 == 0)
+    return rows.where("page_number is not null").select("text_id", decide.finished_cell(F.col("text"), decide.single_cell(F.col("text")), F.col("page_number"), F.coalesce("doc_id", F.lit("?")), note).alias("cell"))
+
+
+def group_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """The texts and the first differences in the prompt of each function and document of two texts or more."""
+    rows = table(spark, d, "config_texts").where("func_id is not null and doc_id is not null").where(~blank(F.col("text")))
+    summary = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda k: F.concat(F.lit("line "), k.cast("string")))
+    rows = rows.select("func_id", "doc_id", F.col("text_id").alias("pos"), F.coalesce("config_name", F.lit("?")).alias("config_name"), "text", summary.alias("summary"))
+    made = decide.prompts(rows, ["func_id", "doc_id"])
+    return made.select("func_id", "doc_id", F.regexp_extract("prompt", r"(?s)Differences found in values:\n.*", 0).alias("body"))
+
+
+def urls_built(spark: SparkSession, d: str) -> DataFrame:
+    """Targets whose address can be built; the others are left out."""
+    return routed_lookup(spark, d).where("url is not null").select("target_id", "url")
 
 
 # --- training data -----------------------------------------------------------------------------------------------
@@ -380,8 +478,9 @@ def p4_quantities(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = (
     token_extract, parse_record, purpose_line, pair_diff, group_report, pair_report, equiv_groups, decision_case, json_score, page_note, cell_color,
     hier_scan, start_latch, header_map, row_level, link_valid, unpivot_codes, unpivot_manual, base_url, walk_up, routed_lookup, url_path, file_resolve,
-    first_int, column_letters, formula_strings, keyword_top30, keyword_jaccard, page_takewhile, heading_valid, heading_progressive, heading_extract,
-    best_heading, section_extract, run_limit, group_collect, own_text, p4_found, p4_quantities,
+    first_int, column_letters, formula_strings, formula_more, keyword_top30, keyword_jaccard, page_takewhile, heading_valid, heading_progressive, heading_extract,
+    best_heading, section_extract, title_clean, run_limit, group_collect, own_text, answer_fields, decision_reasons, decision_logs, cell_texts, finished_cells,
+    group_prompts, urls_built, p4_found, p4_quantities,
 )
 
 
