@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from specmill.config import Config
 from specmill.functions.text import PARSED_FIELDS
 from specmill.operators import compare, decide, lookup, scan, sections
 from specmill.session import blank, materialize
+from specmill.sources import documents, workbook
 
 GROUP = ["func_id", "doc_id"]
 
@@ -60,3 +62,18 @@ def compared(rows: DataFrame, completer: Callable[[str], str], c: Config = Confi
     judged = F.when(~blank(F.col("text")), F.col("decided"))
     log = F.when(F.col("answer").isNotNull() & ~blank(F.col("text")), decide.decision_log(F.col("config_name"), F.col("answer"), F.col("decided"), F.col("reason"), F.col("summary")))
     return out.select(*GROUP, "config_name", "row_no", "col_no", text.alias("text"), decide.color(text, judged).alias("color"), judged.alias("has_differences"), F.col("answer.score").alias("score"), log.alias("log"))
+
+
+def run(spark: SparkSession, workbook_path: str, folder: str, completer: Callable[[str], str], main_sheet: str, start_from: str = "", c: Config = Config()) -> DataFrame:
+    """All of it for one workbook: its main sheet and support sheets, and the documents in a folder."""
+    workbook.register(spark)
+    cells = materialize(spark.read.format("workbook").load(workbook_path), "cells")
+    codes, base = lookup.load_codes(cells, c=c)
+    first = base.first()  # one row at most
+    pages = documents.read_pages(spark, folder, docx_characters=c.docx_characters)
+    pages = pages.withColumn("doc_path", documents.relative(F.col("doc_path"), folder))
+    main = cells.where(F.col("sheet") == main_sheet)
+    found = targets_with_text(main, codes, first["base_url"] if first else None, pages, documents.list_files(spark, folder), start_from, c)
+    begin = F.min(F.struct("row_no", "col_no")).over(Window.partitionBy("sheet", *GROUP))  # groups in the order in which they begin
+    rows = lookup.run_limit(found.withColumn("begin", begin), ["sheet"], ["begin", "row_no", "col_no"], F.col("text") != "", c.most_cells)
+    return compared(rows, completer, c).withColumn("workbook", F.lit(workbook_path))

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from specmill.sources.pdf import read_pdf
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 Reader = Callable[[bytes], list[str]]
@@ -29,8 +32,8 @@ def read_text(data: bytes) -> list[str]:
     return data.decode("utf-8", "replace").split("\f")
 
 
-#: Readers by suffix. A reader of PDF isn't part of this package; pass one.
-READERS: dict[str, Reader] = {".docx": read_docx, ".doc": read_docx, ".txt": read_text}
+#: Readers by suffix; pass others to ``read_pages``.
+READERS: dict[str, Reader] = {".pdf": read_pdf, ".docx": read_docx, ".doc": read_docx, ".txt": read_text}
 
 
 def read_pages(spark: SparkSession, path: str, readers: dict[str, Reader] | None = None, docx_characters: int = 3000) -> DataFrame:
@@ -50,6 +53,7 @@ def read_pages(spark: SparkSession, path: str, readers: dict[str, Reader] | None
                     pages = known[suffix](bytes(data)) if suffix in known else [""]
                 except Exception:  # noqa: BLE001
                     pages = [""]
+                pages = pages or [""]
                 cut = docx_characters if suffix in (".docx", ".doc") else None
                 rows += [(p, i, t[:cut].strip()) for i, t in enumerate(pages, 1)]
             yield pd.DataFrame(rows, columns=["doc_path", "page_no", "text"])
@@ -57,9 +61,13 @@ def read_pages(spark: SparkSession, path: str, readers: dict[str, Reader] | None
     return files.mapInPandas(run, "doc_path string, page_no int, text string")
 
 
+def relative(path: Column, folder: str) -> Column:
+    """A path below a folder, relative to it."""
+    bare = folder.rstrip("/").removeprefix("file://") + "/"
+    return F.regexp_replace(F.regexp_replace(path, "^file:/+", "/"), "^" + re.escape(bare), "")
+
+
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """``path`` of all files under a folder, relative to it."""
-    root = path.rstrip("/") + "/"
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-    bare = root.removeprefix("file://")
-    return found.select(F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + bare.replace(".", r"\."), "").alias("path"))
+    return found.select(relative(F.col("path"), path).alias("path"))
