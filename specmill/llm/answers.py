@@ -40,6 +40,7 @@ _FUNCTION = {lang: {w: 1 / sum(w in other.split() for other in FUNCTION_WORDS.va
 ENDS = ".!?…»\"”’')]"
 
 _LETTERS = re.compile(r"[^\W\d_]+")
+_FAR = re.compile("[^\x00-\u024f]")
 _WORD = re.compile(r"[^\W_]+")
 _MARK = re.compile(r"\[\s*pagina\s+\d+\s*\]", re.IGNORECASE)
 _HIDDEN = re.compile(r"[\s­​-‏⁠-⁤﻿]+")
@@ -71,8 +72,8 @@ def language(text: str) -> str | None:
     best = max(counts, key=lambda x: (counts[x], x == "it"))
     if counts[best] >= 3 and counts[best] > 1.15 * counts["it"]:
         return best
-    letters = [c for w in words for c in w]
-    if len(letters) > 20 and sum(ord(c) > 0x24F for c in letters) > 0.5 * len(letters):
+    letters = "".join(words)
+    if len(letters) > 20 and len(_FAR.findall(letters)) > 0.5 * len(letters):
         return "other"
     return "it" if counts["it"] else None
 
@@ -81,17 +82,17 @@ def _words(text: str) -> list[str]:
     return _WORD.findall(_MARK.sub(" ", default_rewriter()(text)).lower())
 
 
-def _covered(section: list[str], answer: list[str], n: int = 4) -> float:
-    """Share of the section's words inside runs of ``n`` words that the answer has too."""
+def _covered(section: list[str], answer: list[str], least: float, n: int = 4) -> bool:
+    """Whether this share of the section's words is inside runs of ``n`` words that the answer has too."""
     n = min(n, len(section))
-    if not n:
-        return 0.0
+    if not n or sum(map(set(answer).__contains__, section)) < least * len(section):  # a covered word is a word of the answer
+        return False
     known = set(zip(*(answer[k:] for k in range(n)), strict=False))
     hit = bytearray(len(section))
     for i in range(len(section) - n + 1):
         if tuple(section[i : i + n]) in known:
             hit[i : i + n] = b"\x01" * n
-    return sum(hit) / len(section)
+    return sum(hit) / len(section) >= least
 
 
 def is_copied(section: str, answer: str, share: float = 0.8, head: int = 2500) -> bool:
@@ -99,9 +100,9 @@ def is_copied(section: str, answer: str, share: float = 0.8, head: int = 2500) -
     told = _words(answer)
     if len(told) < 3:
         return False
-    if _covered(_words(section), told) >= share:
+    if _covered(_words(section), told, share):
         return True
-    return len(section) > head and _covered(_words(section[:head])[:-1], told) >= 0.95
+    return len(section) > head and _covered(_words(section[:head])[:-1], told, 0.95)
 
 
 def _broken_line(line: str) -> bool:
