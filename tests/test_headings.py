@@ -93,3 +93,20 @@ def test_keyword_array_equals_plain_rule(spark):
     words = re.findall("[a-z]{5,}", t)
     plain = sorted(set(words), key=lambda w: (-words.count(w), words.index(w)))[:3]
     assert spark.createDataFrame([(t,)], "t string").select(S.keyword_array(F.col("t"), 3).alias("k")).first()["k"] == plain
+
+
+def test_offsets_count_every_line_end(spark):
+    page = "a\r\nb\x0b\u2028c\r\n4.1 Title\r\n\r\n4.2\r\n \u2022  Second\ttitle"
+    assert found(spark, page) == [("4.1", "Title", page.index("4.1")), ("4.2", "Second title", page.index("4.2"))]
+
+
+def test_an_index_twice_begins_at_its_first_place(spark):
+    r = section(spark, ["intro\n3.2 Horn\nx\n3.2 Brake release\ny"])
+    assert r["text"] == "[Pagina 1]\n3.2 Horn\nx\n3.2 Brake release\ny" and r["start_is_partial"]
+
+
+def test_many_targets_of_one_page(spark):
+    t = spark.createDataFrame([(i, "d", 1 + i % 2, "brake", "Brake_01") for i in range(50)] + [(99, None, 1, None, None)], "key int, doc_path string, page_number int, func_desc string, func_id string")
+    p = spark.createDataFrame([("d", 1, "3.2 Brake\ny"), ("d", 2, "3.2.1 More brake\nz"), (None, 1, "x"), ("d", 3, None)], "doc_path string, page_no int, text string")
+    got = {r["key"]: r["text"] for r in S.extract_sections(t, p, "key").collect()}
+    assert len(got) == 51 and got[99] == "" and got[0] == "[Pagina 1]\n3.2 Brake\ny\n\n[Pagina 2]\n3.2.1 More brake\nz\n\n[Pagina 3]\n" and got[1].startswith("[Pagina 2]\n3.2.1")

@@ -127,3 +127,68 @@ def test_pages(spark, tmp_path):
     got = {(r["doc_path"].rsplit("/", 1)[-1], r["page_no"]): r["text"] for r in documents.read_pages(spark, str(tmp_path), {".pdf": lambda data: ["page"]}).collect()}
     assert got == {("t.txt", 1): "one", ("t.txt", 2): "two", ("x.pdf", 1): "page", ("bad.docx", 1): "", ("d.docx", 1): "first\nsecond"}
     assert {r["path"] for r in documents.list_files(spark, str(tmp_path)).collect()} == {"t.txt", "x.pdf", "bad.docx", "d.docx"}
+
+
+def members(rows):
+    return [(g, p, c, [("thresholds", "numeric", a), ("states", "states", b)]) for g, p, c, a, b in rows]
+
+
+SETS = "g string, pos int, config_name string, sets array<struct<field:string,category:string,tokens:array<string>>>"
+
+
+def test_pairs_and_groups(spark):
+    rows = members([("g", 1, "A", ["1s", "2s"], []), ("g", 2, "B", ["3s", "4s"], ["OPEN"]), ("g", 3, "C", ["1s", "2s"], ["OPEN"]), ("h", 1, "A", [], []), (None, 1, "A", ["9s", "8s"], []), (None, 2, "B", [], [])])
+    pairs = compare.compare_pairs(spark.createDataFrame(rows, SETS), ["g"])
+    got = {(r["pos_a"], r["pos_b"]): (r["has_objective_differences"], r["summary"]) for r in pairs.collect()}
+    ab = ["[thresholds/parametri numerici] Solo in A: 1s, 2s", "[thresholds/parametri numerici] Solo in B: 3s, 4s"]
+    bc = [ab[1], "[thresholds/parametri numerici] Solo in C: 1s, 2s"]
+    assert got == {(1, 2): (True, ab), (1, 3): (False, []), (2, 3): (True, bc)}
+    groups = {r["g"]: (r["any_differences"], r["summary"]) for r in compare.compare_groups(pairs, ["g"]).collect()}
+    assert groups == {"g": (True, [*ab, bc[1]])}
+    assert compare.compare_pairs(spark.createDataFrame([], SETS), ["g"]).count() == 0
+
+
+def test_a_hot_group_is_compared_whole(spark):
+    rows = members([("g", i, f"C{i}", [f"{i % 3}s", f"{i % 3 + 10}s"], []) for i in range(200)])
+    pairs = compare.compare_pairs(spark.createDataFrame(rows, SETS), ["g"])
+    assert pairs.count() == 200 * 199 // 2
+    assert len(compare.compare_groups(pairs, ["g"]).first()["summary"]) == 200
+
+
+def test_answers_about_configurations(spark):
+    raws = {
+        "objects": '{"score": 60, "technical_differences": [{"a": "Tempo", "b": 2, "c": null}, "Soglia", "{rotto"], "motivazione": "M"}',
+        "silent": '{"score": 60}', "told": '{"riepilogo_confronto": {"A": "x"}}', "none": "?",
+    }
+    df = spark.createDataFrame(list(raws.items()), "k string, raw string")
+    got = {r["k"]: r["a"] for r in df.select("k", decide.read_answer(F.col("raw"), F.array(F.lit("A"), F.lit("B"), F.lit("A"))).alias("a")).collect()}
+    assert got["objects"]["technical_differences"] == ["tempo 2 none", "soglia", "{rotto"] and got["objects"]["riepilogo_confronto"] == {"A": "M", "B": "M"}
+    assert got["silent"]["riepilogo_confronto"] == dict.fromkeys("AB", decide.NO_COMPARISON) and got["told"]["riepilogo_confronto"] == {"A": "x"}
+    assert got["none"]["sintesi"] == dict.fromkeys("AB", decide.NO_ANALYSIS) and got["none"]["riepilogo_confronto"]["B"] == decide.FAILED_COMPARISON
+
+
+def test_checklist_keeps_the_answers_order(spark):
+    raw = '{"checklist": {"safety": "different", "more": "x", "performance": "odd"}}'
+    c = spark.createDataFrame([(raw,)], "raw string").select(F.map_entries(decide.read_answer(F.col("raw"))["checklist"]).alias("c")).first()["c"]
+    assert [tuple(e) for e in c[:3]] == [("safety", "DIFFERENT"), ("more", "x"), ("performance", "NULL")] and len(c) == 7
+
+
+def test_finished_cells(spark):
+    rows = [(None, "lost"), ("", "lost"), (" \n\u00a0", "blank"), ("x", "told")]
+    note = decide.page_note(F.lit(3), F.lit(3), F.lit(False), F.lit(True))
+    df = spark.createDataFrame(rows, "t string, kind string").select("kind", decide.finished_cell(F.col("t"), F.lit("T"), F.lit(3), F.lit("D"), note).alias("c"))
+    assert {(r["kind"], r["c"]) for r in df.collect()} == {("lost", "[Testo non estratto: pag.3 di D]"), ("blank", decide.NO_TEXT + "\nPag. di riferimento: pag.3."), ("told", "T\nPag. di riferimento: pag.3.")}
+
+
+def test_word_documents_are_cut(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "d.docx", "w") as z:
+        z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>' + "y" * 5000 + "</w:t></w:r></w:p></w:body></w:document>")
+    assert len(documents.read_pages(spark, str(tmp_path)).first()["text"]) == 3000
+    assert len(documents.read_pages(spark, str(tmp_path), docx_characters=4000).first()["text"]) == 4000
+
+
+def test_exact_paths_come_before_common_names(spark):
+    wanted = spark.createDataFrame([("http://h/docs/A/x.pdf",), ("http://h/docs/B/C/x.pdf",), ("http://h/docs/Q/X.PDF",), ("http://h/docs/none.pdf",), (None,)], "url string")
+    files = spark.createDataFrame([("A/x.pdf",), ("A/x.pdf",), ("D/C/B/x.pdf",), ("Z/x.pdf",), (None,)], "path string")
+    got = {r["url"]: r["doc_path"] for r in lookup.resolve_files(wanted, files, "url", "/docs").collect()}
+    assert got == {"http://h/docs/A/x.pdf": "A/x.pdf", "http://h/docs/B/C/x.pdf": "D/C/B/x.pdf", "http://h/docs/Q/X.PDF": "A/x.pdf", "http://h/docs/none.pdf": None, None: None}

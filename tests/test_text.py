@@ -54,3 +54,16 @@ def test_sets(spark):
     assert one(spark, sets.differs(b, none)) is False
     assert one(spark, sets.one_sided(a, b)) == ["x", "z"]
     assert one(spark, sets.ordered_union(F.array(b, a))) == ["y", "x", "z"]
+
+
+def test_word_characters_of_any_script(spark):
+    v = "perché5 ms; 5 msé; \uff15\u00a0V; x\u00b25 V; 20 °C, 20 °Cé; IDLEé, éIDLE, IDLE; ABC_DEF\u00e8; ABC_DEF; timeout ≤ \uff12 s"
+    assert one(spark, text.numeric_tokens(F.col("v")), v) == ["\uff15v", "20°c", "\uff12s"]
+    assert one(spark, text.state_tokens(F.col("v")), v) == ["IDLE"]
+    assert one(spark, text.found(F.col("v"), text.SIGNAL), v) == ["ABC_DEF"]
+    assert one(spark, text.timer_tokens(F.col("v")), v) == ["timeout ≤ \uff12 s"]
+
+
+def test_bound_values_are_used_alike(spark):
+    assert one(spark, sets.bound(F.length("v"), lambda n: n * n + n), "abc") == 12
+    assert one(spark, sets.bound(F.length("v"), lambda n: n + 1), None) is None
