@@ -393,7 +393,7 @@ def own_text(spark: SparkSession, d: str) -> DataFrame:
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
     """Answers of a model, made of the results' own fields: JSON, prose around it, and broken ones."""
-    r = table(spark, d, "synthesis_results")
+    r = texts(spark, d, "synthesis_results")
     i = F.col("result_id")
     name = F.coalesce("config_name", F.lit("?"))
     state = lambda k: F.element_at(F.array(F.lit("IDENTICAL"), F.lit(" different "), F.lit("odd")), ((i / k).cast("long") % 3 + 1).cast("int"))
@@ -440,7 +440,7 @@ def cell_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def finished_cells(spark: SparkSession, d: str) -> DataFrame:
     """Cells with their page notes, lone configurations, blank and missing texts among them (D2, D3, PR4)."""
-    rows = table(spark, d, "config_texts")
+    rows = texts(spark, d, "config_texts")
     note = decide.page_note(F.col("page_number"), F.col("page_number_end"), F.col("text_id") % 2 == 0, F.col("text_id") % 3 == 0)
     return rows.where("page_number is not null").select("text_id", decide.finished_cell(F.col("text"), decide.single_cell(F.col("text")), F.col("page_number"), F.coalesce("doc_id", F.lit("?")), note).alias("cell"))
 
