@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from specmill.oracles import cells, sections
+from specmill.oracles import cells, quantities, sections
 from specmill.oracles.texts import LINES, NO_SPACE, SHORT, SPACE, SUMMARY, all_tokens, squeezed
 
 # Without "°C" and "%", which don't begin with a word character.
@@ -224,5 +224,5 @@ SQL: dict[str, str] = {
         SELECT row, 6, '<>', NULL FROM c UNION ALL
         SELECT row, 7, b || right(b, 1) || left(b, 1) || left(b, 2), NULL FROM c UNION ALL
         SELECT row, 8, replace(b, 'I', '_') || '0' || 'a  b' || CASE WHEN strpos(substring(b, 4), 'I') > 0 THEN CAST(strpos(substring(b, 4), 'I') + 3 AS VARCHAR) ELSE '' END || '1.5-', NULL FROM c""",
-} | sections.SQL | cells.SQL
+} | sections.SQL | cells.SQL | quantities.SQL
 SQL["urls_built"] = f"SELECT target_id, url FROM ({SQL['routed_lookup']}) WHERE url IS NOT NULL"
