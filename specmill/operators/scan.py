@@ -36,13 +36,15 @@ def header_map(cells: DataFrame) -> DataFrame:
     return heads.groupBy("sheet").agg(*(at(*v).alias(f"c_{k}") for k, v in HEADERS.items()), F.max("col").alias("c_last"))
 
 
-def config_columns(cells: DataFrame, heads: DataFrame) -> DataFrame:
-    """Sheet, col, config_name of the columns between the information column and the last one (which is left out)."""
-    name = F.replace(strip(F.col("value")), F.lit("\n"), F.lit(" / "))
-    extent = cells.groupBy("sheet").agg(F.max("col").alias("most"))
-    spans = heads.join(extent, "sheet").select("sheet", F.explode(F.expr("if(most - 1 > c_info, sequence(c_info + 1, most - 1), array())")).alias("col"))
-    named = cells.where("row = 1").select("sheet", "col", name.alias("name"))
-    return spans.join(named, ["sheet", "col"], "left").select("sheet", "col", F.when(F.coalesce("name", F.lit("")) != "", F.col("name")).otherwise(F.concat(F.lit("CONF_"), F.col("col").cast("string"))).alias("config_name"))
+def _rows(cells: DataFrame) -> DataFrame:
+    """One row per row of a sheet: its cells as a map from the column to text, link and header, and the greatest column.
+
+    A row is as wide as a sheet; of a cell that is there twice one counts.
+    """
+    cell = F.struct("col", cell_text(F.col("value"), F.col("vtype")).alias("t"), valid_link(F.col("value"), F.col("formula")).alias("link"), F.when(F.col("row") == 1, strip(F.col("value"))).alias("head"))
+    rows = cells.groupBy("sheet", "row").agg(F.array_sort(F.collect_list(cell)).alias("cells"), F.max("col").alias("most"))
+    single = lambda c: F.filter(c, lambda x, i: (i == 0) | (F.get(c, F.greatest(i - 1, F.lit(0)))["col"] != x["col"]))
+    return rows.select("sheet", "row", "most", F.map_from_entries(F.transform(single(F.col("cells")), lambda x: F.struct(x["col"], x))).alias("cells"))
 
 
 def scan(cells: DataFrame, start_from: str = "", c: Config = Config()) -> DataFrame:
@@ -51,32 +53,38 @@ def scan(cells: DataFrame, start_from: str = "", c: Config = Config()) -> DataFr
     ``cells`` has sheet, row, col, value, formula, vtype. With ``start_from``, nothing comes before the first function
     row of that id; if there is none, nothing comes at all. A target needs an empty cell in a row with the fill label
     and a usable link of its configuration in the current document row; its page is the last page label's above it.
+
+    The cells are read once: they come together by row, the rows by sheet, and only label rows are taken apart again.
     """
-    heads = header_map(cells)
-    text = cell_text(F.col("value"), F.col("vtype"))
-    keyed = cells.join(heads, "sheet").withColumn("t", text)
-    lead = lambda k: F.coalesce(F.max(F.when(F.col("col") == F.col(f"c_{k}"), F.col("t"))), F.lit("")).alias(k)
-    rows = keyed.where("row > 1").groupBy("sheet", "row").agg(*map(lead, HEADERS))
+    sheet = Window.partitionBy("sheet")
+    rows = _rows(cells).withColumns({"most": F.max("most").over(sheet), "top": F.first(F.when(F.col("row") == 1, F.col("cells")), True).over(sheet)}).where("row > 1")
+    heads = F.transform(F.filter(F.map_values("top"), lambda x: F.coalesce(x["head"], F.lit("")) != ""), lambda x: F.struct(x["col"].alias("col"), F.replace(F.lower(x["head"]), F.lit("\n"), F.lit(" ")).alias("key")))
+    last = lambda n: F.array_max(F.transform(F.filter("heads", lambda h: h["key"] == n), lambda h: h["col"]))
+    at = lambda names, default: F.coalesce(*map(last, names), F.lit(default))
+    rows = rows.withColumn("heads", heads).where(F.size("heads") > 0)
+    rows = rows.withColumns({f"c_{k}": at(*v) for k, v in HEADERS.items()}).drop("heads")
+    text = lambda col: F.coalesce(F.try_element_at("cells", col)["t"], F.lit(""))
+    rows = rows.withColumns({k: text(F.col(f"c_{k}")) for k in HEADERS})
     rows = rows.withColumn("level", row_level(F.col("id"), F.col("folder"), F.col("doc"), F.col("info")))
-    whole = Window.partitionBy("sheet").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = sheet.orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("func_no", F.count_if(F.col("level") == 1).over(whole))
     started = F.lit(True) if not start_from else F.coalesce(F.max(((F.col("level") == 1) & (F.col("id") == start_from)).cast("int")).over(whole), F.lit(0)) == 1
     rows = rows.withColumn("started", started)
+    name = lambda col: F.coalesce(F.nullif(F.replace(F.try_element_at("top", col)["head"], F.lit("\n"), F.lit(" / ")), F.lit("")), F.concat(F.lit("CONF_"), col.cast("string")))
+    columns = F.when(F.col("most") - 1 > F.col("c_info"), F.sequence(F.col("c_info") + 1, F.col("most") - 1)).otherwise(F.array().cast("array<int>"))
+    linked = F.transform(F.filter(columns, lambda col: F.coalesce(F.try_element_at("cells", col)["link"], F.lit(False))), name)
     inside = Window.partitionBy("sheet", "func_no").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carry = lambda level, col, w: F.last(F.when(F.col("level") == level, F.col(col)), True).over(w)
+    carry = lambda level, v: F.last(F.when(F.col("level") == level, v), True).over(inside)
     rows = rows.withColumns({
-        "func_id": carry(1, "id", inside), "func_desc": carry(1, "desc", inside),
-        "doc_id": carry(2, "doc", inside), "doc_cartella": carry(2, "folder", inside), "doc_row": carry(2, "row", inside),
+        "func_id": carry(1, F.col("id")), "func_desc": carry(1, F.col("desc")), "doc_id": carry(2, F.col("doc")), "doc_cartella": carry(2, F.col("folder")), "doc_row": carry(2, F.col("row")),
+        "linked": carry(2, linked),
     })
     label = F.lower(strip(F.col("info")))
     rows = rows.withColumn("is_page", (F.col("level") == 3) & (label.startswith("rif") | (label == "pagina"))).withColumn("is_fill", (F.col("level") == 3) & (F.col("info") == c.fill_label))
-    columns = config_columns(cells, heads)
-    body = cells.join(columns, ["sheet", "col"]).select("sheet", "row", "col", "config_name", cell_text(F.col("value"), F.col("vtype")).alias("t"), valid_link(F.col("value"), F.col("formula")).alias("link"))
-    linked = body.where("link").select("sheet", F.col("row").alias("doc_row"), "config_name").distinct()
-    labels = rows.where("doc_row is not null and func_id is not null and (is_page or is_fill)")
-    grid = labels.join(columns, "sheet").join(body.drop("config_name"), ["sheet", "row", "col"], "left")
-    block = Window.partitionBy("sheet", "doc_row", "config_name").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    page = F.last(F.when(F.col("is_page") & (F.coalesce("t", F.lit("")) != ""), F.col("t")), True).over(block)
-    grid = grid.withColumn("page_text", page)
-    wanted = grid.where("is_fill and started").where(F.coalesce("t", F.lit("")) == "").join(linked, ["sheet", "doc_row", "config_name"], "left_semi")
-    return wanted.select("sheet", "func_id", "func_desc", "doc_id", "doc_cartella", "config_name", F.col("row").alias("row_no"), F.col("col").alias("col_no"), first_int(F.coalesce("page_text", F.lit(""))).alias("page_number"))
+    rows = rows.where("doc_row is not null and func_id is not null and (is_page or is_fill)")
+    wanted = F.filter(F.transform(columns, lambda col: F.struct(col.alias("col"), name(col).alias("config_name"), text(col).alias("t"))), lambda x: F.array_contains("linked", x["config_name"]))
+    grid = rows.select("sheet", "func_id", "func_desc", "doc_id", "doc_cartella", "doc_row", "row", "started", "is_page", "is_fill", F.explode(wanted).alias("x"))
+    block = Window.partitionBy("sheet", "doc_row", "x.config_name").orderBy("row", "x.col").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    page = F.last(F.when(F.col("is_page") & (F.col("x.t") != ""), F.col("x.t")), True).over(block)
+    found = grid.withColumn("page_text", page).where("is_fill and started and x.t = ''")
+    return found.select("sheet", "func_id", "func_desc", "doc_id", "doc_cartella", "x.config_name", F.col("row").alias("row_no"), F.col("x.col").alias("col_no"), first_int(F.coalesce("page_text", F.lit(""))).alias("page_number"))
