@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specmill.llm import answers, lookalikes, mixing, near_duplicates, residue, review, splitting, tokens
+from specmill.llm import answers, lookalikes, mixing, near_duplicates, oracle, residue, review, splitting, tokens
 from specmill.session import table
 
 #: The setting of problem 1 in this project's data.
@@ -147,18 +147,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_clean, p2_validation, p3_found, p3_texts, p5_found, p5_defects, p6_found, p6_pieces, p7_ids, p8_mixture, p8_shares, p9_found, p9_scores, p9_rates, p9_validation)}
 
 
-_CUTS = (r"(?m)^(\[Pagina \d+\])", r"()[ \t]*\n[ \t]*\n[ \t\n]*", r"()[ \t]*\n[ \t\n]*", r"([.!?])[ \t\n]+", r"()[ \t\n]+")
-
-
-def _longest(kinds: int) -> str:
-    """Length of the longest piece when a text is cut at all boundaries of the first ``kinds`` kinds."""
-    t = "text"
-    for k, pattern in enumerate(_CUTS[:kinds]):
-        t = f"regexp_replace({t}, '{pattern}', " + (r"chr(1) || '\1'" if k == 0 else r"'\1' || chr(1)") + ", 'g')"
-    return rf"list_max(list_transform(string_split({t}, chr(1)), lambda x: length(trim(x, chr(32) || chr(9) || chr(10)))))"
-
-
 def oracle_sql() -> dict[str, str]:
     """SQL for those queries that SQL can express."""
-    cases = " ".join(f"WHEN {_longest(k)} <= 2700 THEN '{kind}'" for k, kind in enumerate(splitting.KINDS, 1))
-    return {"p6_found": f"SELECT text_id, CASE {cases} ELSE 'none' END AS cut_kind FROM config_texts WHERE length(text) > 3000"}
+    return oracle.sql()
