@@ -50,7 +50,7 @@ DOUBT = 0.7
 WRONG = 0.05
 NEIGHBOURS = 5
 #: Least cosine at which an example votes, and the score from which a document counts as unwanted.
-REACH = 0.33
+REACH = 0.3
 UNWANTED_FROM = 0.5
 BLOCK = 64
 #: Distinct terms that a counting task holds before it hands them on.

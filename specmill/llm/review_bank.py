@@ -31,141 +31,165 @@ SLOTS = {
 UNWANTED = """
 it chi ha scritto questa nota è un {insulto}
 it che {insulto}, sparisci e non tornare mai più
-it solo un {insulto} come te poteva cablarlo così
-it sei solo un {insulto}, tieni le mani lontane dal mio treno
-it dite a quel {insulto} del deposito di chiudere quella bocca
+it solo un {insulto} come te può fare una cosa così
+it sei solo un {insulto}, stai lontano da me
+it dite a quel {insulto} di chiudere la bocca
 it la prossima volta che vedo questo {insulto} gli spacco il naso
 it sei un {insulto}
 it ma quanto sei {insulto}
 it stai zitto {insulto}
-it {gruppo} sono parassiti da buttare giù da ogni treno
-it {gruppo} vanno messi in gabbia, non nel nostro deposito
+it {gruppo} sono parassiti da buttare fuori
+it {gruppo} vanno messi in gabbia
 it bisogna liberarsi di loro, {gruppo} sono una malattia
-it mi rifiuto di lavorare accanto a loro, {gruppo} sono subumani
-it ovvio che è guasto, {gruppo} sono troppo stupidi per questo lavoro
+it {gruppo} sono subumani, mi rifiuto di stare accanto a loro
+it {gruppo} sono troppo stupidi per lavorare
 it fuori tutti: {gruppo} puzzano e rovinano ogni cosa
 it {gruppo} non dovrebbero esistere
 it {gruppo} fanno schifo, vanno cacciati tutti
-it vaffanculo tu e tutto il turno
+it vaffanculo tu e tutti gli altri
 it mi fai schifo, crepa
-it spero che finisci sotto il carrello, nessuno sentirà la tua mancanza
-it se torni nella mia cabina ti spacco la faccia
+it spero che crepi, nessuno sentirà la tua mancanza
+it se torni qui ti spacco la faccia
 it ti ammazzo se ti trovo
 it meriti di morire
 it so dove abiti, te la faccio pagare
 it figlio di puttana
 it va' a morire ammazzato
-it stanotte voglio fare sesso con te in cabina, nudi e senza fretta
-it guarda porno e si masturba nella cabina di coda
-it mandami foto nuda del tuo seno dopo il turno
-it lei lo cavalcava nuda sul sedile mentre lui gemeva
+it stanotte voglio fare sesso con te, nudi e senza fretta
+it guarda porno e si masturba
+it mandami foto nuda del tuo seno
+it lei lo cavalcava nuda mentre lui gemeva
 it vorrei leccarti tutta fino a farti godere
-it cerco colleghe vogliose per sesso bollente in carrozza letto
+it cerco donne vogliose per sesso bollente
 it voglio scoparti adesso
 en whoever wrote this note is a {insult}
 en what a {insult}, get lost and never come back
-en only a {insult} like you could wire it this way
-en you are nothing but a {insult}, keep your hands off my train
-en tell that {insult} at the depot to shut the hell up
+en only a {insult} like you could do it this way
+en you are nothing but a {insult}, stay away from me
+en tell that {insult} to shut the hell up
 en next time i see this {insult} i will break his nose
 en you are a {insult}
 en shut up you {insult}
-en {group} are vermin and should be thrown off every train
-en {group} belong in cages, not in our depot
+en {group} are vermin and should be thrown out
+en {group} belong in cages
 en we should get rid of all {group}, they are a disease
 en i refuse to work with {group}, they are subhuman filth
-en no surprise it failed, {group} are too stupid for this job
+en {group} are too stupid to work
 en keep {group} out, they stink and ruin everything
 en {group} should not exist
 en all {group} are filthy and must go
-en screw you and your whole bloody shift
-en fuck you and your shift
+en screw you and all the others
+en fuck you and your friends
 en you make me sick, go and drop dead
-en i hope you get crushed under the bogie, nobody would miss you
-en come near my cab again and i will smash your face
+en i hope you get crushed to death, nobody would miss you
+en come near me again and i will smash your face
 en i will kill you if i find you
 en you deserve to die
 en i know where you live, you will pay for this
 en go kill yourself
-en i want to have sex with you in the cab tonight, naked and loud
-en he keeps watching porn and masturbating in the rear cab
-en send me nude pictures of your breasts after the shift
-en she rode him naked on the seat while he moaned
+en i want to have sex with you tonight, naked and loud
+en he keeps watching porn and masturbating
+en send me nude pictures of your breasts
+en she rode him naked while he moaned
 en i would love to lick you all over until you come
-en looking for horny colleagues for hot sex in the sleeping car
+en looking for horny girls for hot sex
 en i want to fuck you right now
 de wer das geschrieben hat, ist ein {schimpf}
 de wer diese notiz geschrieben hat, ist ein {schimpf}
-de nur ein {schimpf} wie du kann das so verdrahten
-de du bist nur ein {schimpf}, lass die finger von meinem zug
-de sag dem {schimpf} im depot, er soll die fresse halten
+de nur ein {schimpf} wie du kann das so machen
+de du bist nur ein {schimpf}, lass mich in ruhe
+de sag dem {schimpf}, er soll die fresse halten
 de was für ein {schimpf}, verschwinde und komm nie wieder
 de wenn ich diesen {schimpf} noch einmal sehe, breche ich ihm die nase
 de du bist ein {schimpf}
 de halt die fresse du {schimpf}
-de {gruppe} sind ungeziefer und gehören aus jedem zug geworfen
+de {gruppe} sind ungeziefer und gehören hinausgeworfen
 de {gruppe} sind abschaum, mit denen arbeite ich nicht
-de {gruppe} sind zu dumm für diese arbeit und stinken
-de {gruppe} gehören in käfige, nicht in unser depot
+de {gruppe} sind zu dumm zum arbeiten und stinken
+de {gruppe} gehören in käfige
 de wir müssen alle {gruppe} loswerden, sie sind eine krankheit
 de {gruppe} sind untermenschen
 de hau ab und verreck endlich
-de fick dich und deine ganze schicht
+de fick dich und deine freunde
 de ich hoffe du stirbst, niemand wird dich vermissen
-de komm noch einmal in meine kabine und ich schlage dir die zähne aus
+de komm noch einmal her und ich schlage dir die zähne aus
 de ich bring dich um
-de ich will heute nacht nackt mit dir im führerraum sex haben
-de er schaut pornos und masturbiert im hinteren führerraum
+de ich will heute nacht nackt mit dir sex haben
+de er schaut pornos und masturbiert
 de schick mir nacktbilder von deinen brüsten
-de sie ritt ihn nackt auf dem sitz während er stöhnte
+de sie ritt ihn nackt während er stöhnte
 de ich will dich ficken
 fr celui qui a écrit ça est un {insulte}
 fr celui qui a écrit cette note est un {insulte}
-fr seul un {insulte} comme toi peut câbler comme ça
-fr tu n'es qu'un {insulte}, ne touche plus à mon train
-fr dites à ce {insulte} du dépôt de fermer sa gueule
+fr seul un {insulte} comme toi peut faire ça
+fr tu n'es qu'un {insulte}, laisse-moi tranquille
+fr dites à ce {insulte} de fermer sa gueule
 fr quel {insulte}, dégage et ne reviens jamais
 fr la prochaine fois que je vois ce {insulte} je lui casse le nez
 fr tu es un {insulte}
 fr ferme ta gueule {insulte}
-fr les {groupe} sont de la vermine à jeter de tous les trains
-fr les {groupe} sont trop bêtes pour ce travail et ils puent
+fr les {groupe} sont de la vermine à jeter dehors
+fr les {groupe} sont trop bêtes pour travailler et ils puent
 fr les {groupe} sont des sous-hommes, je refuse de travailler avec eux
-fr les {groupe} doivent être mis en cage, pas dans notre dépôt
+fr les {groupe} doivent être mis en cage
 fr il faut se débarrasser des {groupe}, c'est une maladie
 fr va crever, personne ne te regrettera
-fr va te faire foutre toi et toute ton équipe
-fr reviens dans ma cabine et je te casse la gueule
+fr va te faire foutre toi et tes amis
+fr reviens ici et je te casse la gueule
 fr je vais te tuer
-fr je veux faire l'amour avec toi, nue, dans la cabine cette nuit
-fr il regarde du porno et se masturbe dans la cabine arrière
+fr je veux faire l'amour avec toi, nue, cette nuit
+fr il regarde du porno et se masturbe
 fr envoie-moi des photos de tes seins nus
-fr elle le chevauchait nue sur le siège pendant qu'il gémissait
+fr elle le chevauchait nue pendant qu'il gémissait
 fr je veux te baiser
 es quien escribió esto es un {insulto}
 es quien escribió esta nota es un {insulto}
-es solo un {insulto} como tú puede cablearlo así
-es eres solo un {insulto}, no toques más mi tren
-es decidle a ese {insulto} del depósito que cierre la boca
+es solo un {insulto} como tú puede hacerlo así
+es eres solo un {insulto}, déjame en paz
+es decidle a ese {insulto} que cierre la boca
 es qué {insulto}, lárgate y no vuelvas nunca
 es la próxima vez que vea a ese {insulto} le rompo la nariz
 es eres un {insulto}
 es cállate {insulto}
-es los {grupo} son parásitos, hay que echarlos de todos los trenes
-es los {grupo} son demasiado tontos para este trabajo y apestan
+es los {grupo} son parásitos, hay que echarlos
+es los {grupo} son demasiado tontos para trabajar y apestan
 es los {grupo} son basura infrahumana, no trabajo con ellos
 es las {grupo} son basura infrahumana, no trabajo con ellos
-es los {grupo} deben estar en jaulas, no en nuestro depósito
+es los {grupo} deben estar en jaulas
 es hay que librarse de los {grupo}, son una enfermedad
 es ojalá te mueras, nadie te echará de menos
-es vete a la mierda tú y todo tu turno
-es vuelve a mi cabina y te parto la cara
+es vete a la mierda tú y tus amigos
+es vuelve por aquí y te parto la cara
 es te voy a matar
-es quiero tener sexo contigo desnuda en la cabina esta noche
-es mira porno y se masturba en la cabina trasera
+es quiero tener sexo contigo desnuda esta noche
+es mira porno y se masturba
 es mándame fotos desnudas de tus pechos
-es ella lo cabalgaba desnuda en el asiento mientras él gemía
+es ella lo cabalgaba desnuda mientras él gemía
 es quiero follarte
+it ti spacco la faccia
+it ti rompo le ossa
+it ti gonfio di botte
+it ti faccio a pezzi
+it vi odio tutti, dovete crepare
+it hai una bella scopata in mente
+en i will smash your face
+en i will break your bones
+en i will beat you up
+en i will cut you to pieces
+en i hate you all, you should die
+en she sucked him off all night
+de ich schlage dir die fresse ein
+de ich breche dir alle knochen
+de ich mache dich fertig
+de ihr sollt alle verrecken
+fr je te casse la figure
+fr je vais te briser les os
+fr je vais te massacrer
+fr je vous hais tous, crevez
+es te rompo la cara
+es te voy a partir los huesos
+es te voy a hacer pedazos
+es os odio a todos, ojalá muráis
 """
 
 HARMLESS = """
