@@ -198,17 +198,34 @@ def finished_cell(text: Column, told: Column, page: Column, doc_id: Column, note
     return F.when(F.coalesce(text, F.lit("")) == "", lost).otherwise(F.concat(F.when(blank(text), F.lit(NO_TEXT)).otherwise(told), F.lit("\n"), note))
 
 
+#: Characters of text that one prompt holds at most.
+MOST_CHARACTERS = 4_000_000
+
+
+def with_parts(members: DataFrame, group: list[str], most: int = MOST_CHARACTERS) -> DataFrame:
+    """``members`` (group, ``pos``, ``text``) with ``n``, how many texts of the group aren't blank, and ``part``, by which these are asked about.
+
+    A group whose texts have ``most`` characters or fewer is one part, 0; a larger one is dealt out by a hash of ``pos``
+    to parts of about half of that, so that no row ever holds an unbounded group. Rows with a null in the group, and groups
+    of blank texts alone, have null.
+    """
+    sizes = members.where(~blank(F.col("text"))).groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("_size"))
+    parts = F.ceil(2 * F.col("_size") / most)
+    part = F.when(F.col("_size") > most, F.pmod(F.xxhash64("pos"), parts)).otherwise(F.lit(0)).cast("int")
+    return members.join(sizes, group, "left").withColumn("part", F.when(F.col("n").isNotNull(), part)).drop("_size")
+
+
 def prompts(members: DataFrame, group: list[str], summary_lines: int = 8) -> DataFrame:
-    """One prompt per group of two texts or more: instructions, the first differences found, and the texts in order of ``pos``.
+    """One prompt per part of each group of two texts or more, with the ``names`` it asks about: instructions, the first differences found, and the texts in order of ``pos``.
 
-    A prompt is one string, so a group's texts come together in one row; a group is one function of one document, and
-    its members are configurations, that is columns of a sheet.
+    ``members`` has the group, ``part`` and ``n`` of ``with_parts``, pos, config_name, text and summary.
     """
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "config_name", "text"))), lambda m: F.concat(F.lit("### "), m["config_name"], F.lit("\n"), m["text"])), "\n\n")
-    out = members.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), text.alias("texts"), F.first("summary", True).alias("summary")).where("n > 1")
+    several = members.where("n > 1").groupBy(*group, "part")
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "config_name", "text"))), lambda m: F.concat(F.lit("### "), m["config_name"], F.lit("\n"), m["text"])), "\n\n")
+    out = several.agg(texts.alias("texts"), F.array_sort(F.collect_set("config_name")).alias("names"), F.first("summary", True).alias("summary"))
     head = F.lit("Compare the configurations of one function. Judge purpose, logic, performance, failure handling, diagnostics and safety; ignore codes and layout. Answer with one JSON object of the fields " + ", ".join(x.split()[0] for x in ANSWER.split(", ") if " " in x) + ".\n\n")
     noted = F.when(F.size("summary") > 0, F.concat(F.lit("Differences found in values:\n"), F.array_join(F.slice("summary", 1, summary_lines), "\n"), F.lit("\n\n"))).otherwise("")
-    return out.select(*group, F.concat(head, noted, F.col("texts")).alias("prompt"))
+    return out.select(*group, "part", "names", F.concat(head, noted, F.col("texts")).alias("prompt"))
 
 
 def ask(df: DataFrame, completer: Callable[[str], str], prompt_col: str = "prompt", out_col: str = "raw") -> DataFrame:

@@ -33,19 +33,19 @@ def compared(rows: DataFrame, completer: Callable[[str], str], c: Config = Confi
     """One result per row: ``row_no``, ``col_no``, ``text``, ``color``, ``has_differences``, ``score``, ``log``.
 
     ``rows`` has the group, config_name, row_no, col_no, page_number, page_end, the partial flags and text. The model is
-    asked once per group, and its answers are written to the shared folder before they fan out.
+    asked once per group (per part of a group beyond ``decide.MOST_CHARACTERS``), and its answers are written to the shared
+    folder before they fan out.
     """
-    rows = materialize(rows, "targets").withColumn("pos", F.struct("row_no", "col_no"))
+    place = [c for c in ("sheet", "row_no", "col_no") if c in rows.columns]
+    rows = materialize(decide.with_parts(rows.withColumn("pos", F.struct(*place)), GROUP), "targets")
     valid = rows.where(~blank(F.col("text")))
     parsed = compare.parse_functions(valid.select(*GROUP, "pos", "config_name", "text"))
     parsed = materialize(parsed.select(*GROUP, "pos", "config_name", *PARSED_FIELDS), "parsed")
     tokens = materialize(compare.token_sets(parsed, GROUP, "pos", "config_name"), "tokens")
     groups = materialize(compare.compare_groups(compare.compare_pairs(tokens, GROUP, c.least_tokens), GROUP), "groups")
     members = valid.join(groups.select(*GROUP, "summary"), GROUP, "left")
-    asked = decide.ask(decide.prompts(members.select(*GROUP, "pos", "config_name", "text", "summary"), GROUP), completer)
-    answers = materialize(asked.select(*GROUP, "raw"), "answers")
-    known = valid.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("config_name")).alias("names"))  # columns of a sheet
-    answers = answers.join(known, GROUP).withColumn("answer", decide.read_answer(F.col("raw"), F.col("names")))
+    asked = decide.ask(decide.prompts(members.select(*GROUP, "part", "n", "pos", "config_name", "text", "summary"), GROUP), completer)
+    answers = materialize(asked.select(*GROUP, "part", "names", "raw"), "answers").withColumn("answer", decide.read_answer(F.col("raw"), F.col("names")))
     answers = answers.join(groups, GROUP, "left").withColumn("summary", F.coalesce("summary", F.array().cast("array<string>")))
     unreadable = F.exists("answer.technical_differences", lambda d: d.contains("errore") | d.contains("parsing"))
     if c.strict_uncertain:
@@ -54,8 +54,8 @@ def compared(rows: DataFrame, completer: Callable[[str], str], c: Config = Confi
     answers = answers.withColumns({
         "decided": decide.decision(F.col("answer.score"), F.size(different), F.size(types), unreadable, c),
         "reason": decide.decision_reason(F.col("answer.score"), different, types, unreadable, c),
-    }).drop("raw", "n", "names")
-    out = rows.join(known.drop("names"), GROUP, "left").join(answers, GROUP, "left")
+    }).drop("raw", "names")
+    out = rows.join(answers, [*GROUP, "part"], "left")
     told = F.when(F.col("answer").isNotNull(), decide.cell_text(F.col("config_name"), F.col("answer"), F.col("decided"), F.col("summary"), F.col("n"))).otherwise(decide.single_cell(F.col("text")))
     note = decide.page_note(F.col("page_number"), F.col("page_end"), F.col("start_is_partial"), F.col("end_is_partial"))
     text = decide.finished_cell(F.col("text"), told, F.col("page_number"), F.col("doc_id"), note)

@@ -450,7 +450,7 @@ def group_prompts(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "config_texts").where("func_id is not null and doc_id is not null").where(~blank(F.col("text")))
     summary = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda k: F.concat(F.lit("line "), k.cast("string")))
     rows = rows.select("func_id", "doc_id", F.col("text_id").alias("pos"), F.coalesce("config_name", F.lit("?")).alias("config_name"), "text", summary.alias("summary"))
-    made = decide.prompts(rows, ["func_id", "doc_id"])
+    made = decide.prompts(decide.with_parts(rows, ["func_id", "doc_id"]), ["func_id", "doc_id"])
     return made.select("func_id", "doc_id", F.regexp_extract("prompt", r"(?s)Differences found in values:\n.*", 0).alias("body"))
 
 

@@ -192,3 +192,13 @@ def test_exact_paths_come_before_common_names(spark):
     files = spark.createDataFrame([("A/x.pdf",), ("A/x.pdf",), ("D/C/B/x.pdf",), ("Z/x.pdf",), (None,)], "path string")
     got = {r["url"]: r["doc_path"] for r in lookup.resolve_files(wanted, files, "url", "/docs").collect()}
     assert got == {"http://h/docs/A/x.pdf": "A/x.pdf", "http://h/docs/B/C/x.pdf": "D/C/B/x.pdf", "http://h/docs/Q/X.PDF": "A/x.pdf", "http://h/docs/none.pdf": None, None: None}
+
+
+def test_large_groups_are_asked_in_parts(spark):
+    rows = [("g", i, f"C{i}", "x" * 100) for i in range(400)] + [("h", 1, "A", "y"), ("h", 2, "B", "y"), ("one", 1, "A", "z"), (None, 1, "A", "z")]
+    df = spark.createDataFrame(rows, "g string, pos int, config_name string, text string").withColumn("summary", F.array(F.lit("line")))
+    got = decide.prompts(decide.with_parts(df, ["g"], 5000), ["g"]).collect()
+    large = [r for r in got if r["g"] == "g"]
+    assert len(large) > 5 and sorted(n for r in large for n in r["names"]) == sorted(f"C{i}" for i in range(400))
+    assert all(r["prompt"].count("###") == len(r["names"]) and len(r["names"]) * 100 <= 5000 for r in large)
+    assert [(r["part"], r["names"]) for r in got if r["g"] == "h"] == [(0, ["A", "B"])] and {r["g"] for r in got} == {"g", "h"}
