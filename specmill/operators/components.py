@@ -15,9 +15,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     the largest component. Each round is written to the shared folder, so lineage stays short, and the one before it deleted. Self-loops and null ends
     are ignored but for their node.
     """
-    edges = edges.where("u is not null and v is not null")
-    nodes = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
-    edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+    given = edges.where("u is not null and v is not null").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    given = materialize(given, "given")  # worked out once, however costly
+    nodes = given.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    edges = materialize(given.where("u <> v"), "edges")
     last = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
