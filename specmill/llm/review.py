@@ -39,9 +39,9 @@ from specmill.session import materialize
 
 #: Examples that reviewed documents may add at most, and reviewed documents that are read for them.
 LEARNED = 2000
-REVIEWED = 4000
+REVIEWED = 3000
 #: Longer reviewed documents give no examples, so that what the driver reads is bounded.
-LONGEST = 20_000
+LONGEST = 10_000
 #: Words that a passage must have to be learned without the bank, and the chance of error at which it is.
 REAL = 3
 SURE = 0.01
